@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuewright.llm import minhash, quality_rules
+from cuewright.llm import bpe, decontaminate, minhash, quality_rules, registry
 from cuewright.llm.shared import Scratch
 
 #: Near duplicates and encoding by keyed hash have no SQL form; the tests hold the stages against brute force.

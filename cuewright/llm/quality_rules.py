@@ -129,12 +129,14 @@ def cutoffs(sketch: DataFrame) -> DataFrame:
     q = q.select("level", "lang", "source", "metric", "n", (F.col("q50") - SPREAD * (F.col("q50") - F.col("q25")) - slack).alias("low"), (F.col("q50") + SPREAD * (F.col("q75") - F.col("q50")) + slack).alias("high"))
     wide = q.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("metric") == k, F.col(c))).alias(f"{c}_{k}") for k in METRICS for c in ("low", "high")])
     cols = [f"{c}_{k}" for k in METRICS for c in ("low", "high")]
-    pack = F.struct(*cols)
-    level = lambda i, *keys: wide.where(F.col("level") == i).select(*keys, F.col("n").alias(f"n{i}"), pack.alias(f"p{i}"))
-    x, y, z = level(0, "lang", "source"), level(1, F.col("lang").alias("lang1")), level(2)
-    chosen = F.when(F.col("n0") >= MIN_GROUP, F.col("p0")).when(F.col("n1") >= MIN_GROUP, F.col("p1")).otherwise(F.col("p2"))
-    # z is one row: everything merged.
-    return x.join(y, x.lang.eqNullSafe(y.lang1), "left").join(F.broadcast(z), F.lit(True), "left").select("lang", "source", chosen.alias("cut")).select("lang", "source", "cut.*")
+    # Each group asks for its own sketch, its language's and everything's, and takes the first that is large enough.
+    none = F.lit(None).cast("string")
+    asks = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), a.alias("l"), b.alias("s")) for i, (a, b) in enumerate(((F.col("lang"), F.col("source")), (F.col("lang"), none), (none, none)))])).alias("ask")
+    asked = wide.where("level = 0").select("lang", "source", asks).select("lang", "source", "ask.*").alias("a")
+    w = wide.alias("w")
+    met = asked.join(w, F.expr("a.level = w.level and a.l <=> w.lang and a.s <=> w.source")).where((F.col("w.n") >= MIN_GROUP) | (F.col("a.level") == 2))
+    best = met.groupBy("a.lang", "a.source").agg(F.min_by(F.struct(*[F.col(f"w.{c}") for c in cols]), F.col("a.level")).alias("cut"))
+    return best.select("lang", "source", "cut.*")
 
 
 def verdict(m: str) -> Column:

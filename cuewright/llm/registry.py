@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, quality_rules
+from . import bpe, decontaminate, minhash, quality_rules
 from .shared import Scratch
 
 
@@ -16,12 +17,43 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
+def model_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where the public tokenizer's file is; only the driver reads it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, *, dropout: float = 0.1, seed: int = 0) -> DataFrame:
+    Scratch(spark)
+    docs = table(spark, sf_dir, "documents")
+    coded = docs.select("doc_id", bpe.encode(F.col("text"), F.col("doc_id"), bpe.read_model(model_path()), dropout, seed).alias("x"))
+    return coded.select("doc_id", F.col("x.ids").alias("token_ids"), F.size("x.ids").cast("long").alias("n_tokens"), F.col("x.lossless").alias("lossless"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str, *, limit: int = 4096) -> DataFrame:
+    Scratch(spark)
+    docs = table(spark, sf_dir, "documents")
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    counted = docs.select("doc_id", n_bytes, bpe.token_counts(F.col("text"), bpe.read_model(model_path())).alias("n_tokens"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op6_decontaminate": op6_decontaminate,
     "op8_quality_rules": op8_quality_rules,
+    "op10_token_counts": op10_token_counts,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontaminate": decontaminate.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {}

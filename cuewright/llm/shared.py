@@ -50,6 +50,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def bytes(self, saved: DataFrame) -> int:
+        """The size of a saved table's files."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(saved._scratch_path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later result reads."""
         jvm = self.spark.sparkContext._jvm
@@ -58,6 +63,15 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A side of a join is broadcast when its files are no larger; beyond that the join is shuffled.
+SMALL_BYTES = 4 << 20
+
+
+def small_side(scratch: Scratch, saved: DataFrame) -> DataFrame:
+    """A saved table, with a broadcast hint only if its measured size is under the bound."""
+    return F.broadcast(saved) if scratch.bytes(saved) <= SMALL_BYTES else saved
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of (a long, b long): one row (node, comp) for each node, comp the smallest node.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuewright.llm import bpe, decontaminate, minhash, quality_rules, registry
+from cuewright.llm import decontaminate, minhash, quality_rules, registry, suffix_dedup
 from cuewright.llm.shared import Scratch
 
 #: Near duplicates and encoding by keyed hash have no SQL form; the tests hold the stages against brute force.
@@ -26,7 +26,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return minhash.deduplicate(docs, Scratch(spark))
 
 
-STAGES = [("quality_rules", rules), ("minhash_dedup", near_duplicates)]
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has go from the texts."""
+    return suffix_dedup.deduplicate(docs, Scratch(spark))
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by the benchmark go."""
+    return decontaminate.decontaminate(docs, registry.table(spark, sf_dir, "benchmark"), Scratch(spark))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids with seeded merge-dropout, and whether they decode to the text."""
+    return registry.encoded(spark, docs)
+
+
+STAGES = [
+    ("quality_rules", rules),
+    ("minhash_dedup", near_duplicates),
+    ("suffix_dedup", repeated_passages),
+    ("decontaminate", contamination),
+    ("sentencepiece", encoding),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, minhash, quality_rules
+from . import bpe, decontaminate, minhash, quality_rules, suffix_dedup
 from .shared import Scratch
 
 
@@ -25,8 +25,12 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, *, dropout: float = 0.1, seed: int = 0) -> DataFrame:
+    return encoded(spark, table(spark, sf_dir, "documents"), dropout=dropout, seed=seed)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, *, dropout: float = 0.1, seed: int = 0) -> DataFrame:
+    """doc_id, token_ids, n_tokens, lossless of each document."""
     Scratch(spark)
-    docs = table(spark, sf_dir, "documents")
     coded = docs.select("doc_id", bpe.encode(F.col("text"), F.col("doc_id"), bpe.read_model(model_path()), dropout, seed).alias("x"))
     return coded.select("doc_id", F.col("x.ids").alias("token_ids"), F.size("x.ids").cast("long").alias("n_tokens"), F.col("x.lossless").alias("lossless"))
 
@@ -39,6 +43,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of 50 words or more that other documents have too."""
+    found = suffix_dedup.spans_by_document(table(spark, sf_dir, "documents"), Scratch(spark))
+    words = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + (x["e"] - x["s"]))
+    return found.select("doc_id", words("repeated").alias("n_repeated"), words("removed").alias("n_removed"), "repeated", "removed", "sources")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str, *, limit: int = 4096) -> DataFrame:
     Scratch(spark)
     docs = table(spark, sf_dir, "documents")
@@ -52,6 +63,7 @@ QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op6_decontaminate": op6_decontaminate,
     "op8_quality_rules": op8_quality_rules,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, minhash, quality_rules, suffix_dedup
+from . import bpe, decontaminate, language, minhash, quality_model, quality_rules, sharding, suffix_dedup, toxicity
 from .shared import Scratch
 
 
@@ -17,6 +17,14 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark))
+
+
 def model_path(name: str = "piece_bpe_32k.model") -> str:
     """Where the public tokenizer's file is; only the driver reads it."""
     import public_tokenizers
@@ -35,10 +43,18 @@ def encoded(spark: SparkSession, docs: DataFrame, *, dropout: float = 0.1, seed:
     return coded.select("doc_id", F.col("x.ids").alias("token_ids"), F.size("x.ids").cast("long").alias("n_tokens"), F.col("x.lossless").alias("lossless"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents"), Scratch(spark))
 
@@ -60,8 +76,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, *, limit: int = 4096) ->
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_toxicity": op3_toxicity,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_language": op5_language,
     "op6_decontaminate": op6_decontaminate,
+    "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,

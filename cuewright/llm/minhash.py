@@ -10,11 +10,11 @@ A pair at similarity 0.85 shares a band with probability 1 - 4e-7.
 Scale.  Documents with equal sets form one class before anything else (one
 partial aggregation), so exact copies never meet in pairs.  In a bucket each
 class is compared with a few heads (least by three fixed orders), which links
-nearly all of a large group with work linear in its size.  Classes of a bucket
-that are still in different components afterwards are then compared with
-each other in blocks of at most ``BLOCK`` by bit counts inside the join, so only pairs that
-pass the screen are produced, and none between classes already connected.
-Connectivity, and so every result column, is the same as if all pairs had
+nearly all of a large group with work linear in its size.  A bucket whose
+classes are still in different components afterwards is cut into blocks of bounded
+size; two blocks at a time meet in one group, where the full sets are compared by matrix
+products and only links between components come out, never pairs.
+Connectivity, and so every result column, is the same as if all pairs of each bucket had
 been compared.
 
 Defined results: null or wordless text has an empty set and is linked with
@@ -30,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, components
+from .shared import Scratch, components, small_side
 from .textkit import NOT_SPACE, _table, blocks, distinct, grams, mix, signed
 
 WORDS = 5
 BANDS, ROWS = 25, 5
 HASHES, BITS = 128, 4
 LANES = HASHES * BITS // 64
-BLOCK = 1024
+#: Most rows, and about most shingles, of a block of a bucket.
+BLOCK = 512
+BLOCK_SHINGLES = 400_000
 #: Estimates have a standard deviation of 0.034 at 0.85.
 SCREEN = 0.70
 
@@ -146,7 +148,8 @@ def confirm(scratch: Scratch, pairs: DataFrame, classes: DataFrame, texts: DataF
         return linked(left, right, percent)
 
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    held = classes.join(ids, "rep", "left_semi").select("rep", "n", "sig").join(texts, F.col("rep") == F.col("_id")).drop("_id")
+    ids = scratch.save(ids.join(classes.select("rep", "n", "sig"), "rep"))
+    held = texts.join(small_side(scratch, ids), F.col("rep") == F.col("_id")).select("rep", "n", "sig", "_text")
     held = scratch.save(held)
     x = held.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("_text").alias("ta"))
     y = held.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("_text").alias("tb"))
@@ -156,6 +159,89 @@ def confirm(scratch: Scratch, pairs: DataFrame, classes: DataFrame, texts: DataF
     return links
 
 
+def block_links(rep: np.ndarray, comp: np.ndarray, second: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect components within two blocks of documents (second: of which): (document, least document reached).
+
+    Exact intersections of all sets of one block with those of the other come
+    from products of incidence matrices, a slice of the shingles at a time.
+    With one block only (second all equal), it meets itself.
+    """
+    sizes = np.array([len(x) for x in sets])
+    values, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    common = seen[at] > 1
+    shared = np.bincount(row[common], minlength=len(sets))
+    able = 100 * shared >= percent * sizes  # whatever it is linked with has this many of its shingles
+    keep = common & able[row]
+    row, at = row[keep], at[keep]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], np.unique(at[order], return_inverse=True)[1]
+    two = second.any() and not second.all()
+    one, other = (np.flatnonzero(able & ~second), np.flatnonzero(able & second)) if two else (np.flatnonzero(able),) * 2
+    inter = np.zeros((len(one), len(other)), dtype=np.float32)
+    place = [np.full(len(sets), -1) for _ in range(2)]
+    place[0][one], place[1][other] = np.arange(len(one)), np.arange(len(other))
+    width = 2048
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        cut = slice(*np.searchsorted(at, [lo, lo + width]))
+        parts = []
+        for k, n in enumerate((len(one), len(other))):
+            m = np.zeros((n, width), dtype=np.float32)
+            ok = place[k][row[cut]] >= 0
+            m[place[k][row[cut]][ok], at[cut][ok] - lo] = 1
+            parts.append(m)
+        inter += parts[0] @ parts[1].T
+    union = sizes[one][:, None] + sizes[other][None, :] - inter
+    x, y = np.nonzero((100 * inter >= percent * union) & (comp[one][:, None] != comp[other][None, :]))
+    x, y = one[x], other[y]
+    label = comp.copy()
+    names, inner = np.unique(label, return_inverse=True)
+    while True:  # least label over links and within known components
+        least = label.copy()
+        np.minimum.at(least, x, label[y])
+        np.minimum.at(least, y, label[x])
+        own = np.full(len(names), np.iinfo(np.int64).max)
+        np.minimum.at(own, inner, least)
+        least = own[inner]
+        if np.array_equal(least, label):
+            break
+        label = least
+    moved = label != comp
+    pairs = np.unique(np.stack([comp[moved], label[moved]], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def connect(scratch: Scratch, rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components for buckets (key, rep, n, comp, m, all) whose members are in several.
+
+    A bucket is cut into blocks of bounded rows and shingles, and each
+    two blocks (and each with itself) are one group; only links between components leave it.
+    """
+
+    @F.arrow_udf("binary")
+    def shingle_set(column: pa.Array) -> pa.Array:
+        out = []
+        for u, first in shingles(column):
+            out += [u[first[i] : first[i + 1]].tobytes() for i in range(len(first) - 1)]
+        return pa.array(out, type=pa.binary())
+
+    def links(table: pa.Table) -> pa.Table:
+        rep, at = np.unique(table.column("rep").to_numpy(), return_index=True)
+        blk, bi = table.column("blk").to_numpy()[at], table.column("bi").to_numpy()[at]
+        column = table.column("s")
+        sets = [np.frombuffer(column[int(i)].as_py(), dtype=np.uint64) for i in at]
+        a, b = block_links(rep, table.column("comp").to_numpy()[at], blk != bi, sets, percent)
+        return pa.table({"a": a, "b": b})
+
+    ids = rows.select("rep").distinct()
+    sets = scratch.save(texts.join(small_side(scratch, scratch.save(ids)), F.col("_id") == F.col("rep")).select("rep", shingle_set("_text").alias("s")))
+    blocks_of = F.greatest(F.expr(f"(m + {BLOCK} - 1) div {BLOCK}"), F.expr(f"(all + {BLOCK_SHINGLES} - 1) div {BLOCK_SHINGLES}")).cast("int")
+    cut = rows.select("key", "rep", "comp", blocks_of.alias("nb")).withColumn("blk", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("nb")).cast("int"))
+    meet = cut.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).select("key", "rep", "comp", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
+    met = meet.join(sets, "rep").groupBy("key", "bi", "bj").applyInArrow(links, "a bigint, b bigint")
+    return scratch.save(met.distinct())
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """For each document: id, n_shingles, component_id, kept, n_copies (documents with the same set)."""
     base = scratch.save(docs.select(F.col(id).cast("long").alias("id"), sketch(F.col(text)).alias("k")).select("id", "k.*"))
@@ -177,32 +263,19 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", te
     comp = scratch.save(components(scratch, links))
 
     # Buckets of three or more whose members are not yet all connected.
-    at = members.where("m > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "m", "rep", F.coalesce("comp", "rep").alias("comp"))
-    at = scratch.save(at)
-    apart = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_rows = at.join(apart, "key", "left_semi").join(classes.select("rep", "n", "sig"), "rep")
-    n_blocks = F.expr(f"cast((m + {BLOCK} - 1) div {BLOCK} as int)")
-    open_rows = scratch.save(open_rows.select("key", "rep", "comp", "n", "sig", n_blocks.alias("nb"), F.pmod(F.xxhash64("rep", F.lit(5)), n_blocks).cast("int").alias("blk")))
-    left = open_rows.select("key", "rep", "comp", "n", "sig", "blk", F.explode(F.expr("sequence(blk, nb - 1)")).alias("other"))
-    right = open_rows.select("key", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("sig").alias("sig2"), F.col("blk").alias("other"), F.explode(F.expr("sequence(0, blk)")).alias("blk"))
-    l, r = left.alias("l"), right.alias("r")
-    cond = (F.col("l.key") == F.col("r.key")) & (F.col("l.blk") == F.col("r.blk")) & (F.col("l.other") == F.col("r.other"))
-    apart_pair = F.expr("l.comp <> r.comp2 and (l.blk <> l.other or l.rep < r.rep2)")
-    close = (F.lit(100) * F.least("l.n", "r.n2") >= percent * F.greatest("l.n", "r.n2")) & (estimate("l.sig", "r.sig2") >= SCREEN)
-    rest = l.join(r, cond & apart_pair & close)
-    rest = scratch.save(rest.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
-    more = confirm(scratch, rest, classes, texts, percent)
+    at = members.where("m > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(classes.select("rep", "n"), "rep")
+    at = scratch.save(at.select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")))
+    apart = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("all")).where("lo <> hi").select("key", "m", "all")
+    more = connect(scratch, scratch.save(at.join(apart, "key")), texts, percent)
     if not more.isEmpty():
-        label = comp.select(F.col("node"), F.col("comp"))
-        lifted = more.join(label.withColumnRenamed("node", "a").withColumnRenamed("comp", "ca"), "a", "left").join(label.withColumnRenamed("node", "b").withColumnRenamed("comp", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        top = components(scratch, lifted)
+        top = components(scratch, more)
         moved = comp.join(top.select(F.col("node").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
         fresh = top.join(comp.select("node"), "node", "left_anti")
         comp = scratch.save(moved.unionByName(fresh))
 
     ends = same.join(comp, same.rep == comp.node, "left").select("h1", "h2", "n", F.coalesce("comp", "rep").alias("comp"), "copies")
     out = base.join(ends, ["h1", "h2", "n"], "left")
-    component = F.coalesce("comp", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
 
 

@@ -1,40 +1,38 @@
 """Repeated passages by a sparse suffix array.
 
 Method.  Suffixes are kept only at content-selected positions: where the hash
-of 5 words is the least of 26 consecutive ones (a minimiser).  Any shared run of 50
-words has the same first minimiser within its first 26 words, so it shares a
-kept suffix with at least 25 words to its right.  Suffixes whose
-first 25 words occur once are let go; the rest carry the words around them (as
-32-bit hashes, 25 to the left and 25 more to the right), are sorted over the
-cluster by content, and each is compared with its neighbours.  Neighbours that agree
-on 50 words or more, extended to the left and right, form a run; every member of a run is
-compared with its earliest one (least document, then place), and the words
-they share are removable from the later one.  Members that do not
-share enough with the earliest are sorted and compared again among
-themselves, and so are the earliest ones of all runs, which joins runs cut
-by a partition's edge.
-
-A word is only ever removed for an equal word in an earlier document, so the
-earliest occurrence of a passage always stays.
-
-Scale.  Texts are hashed where they lie.  Hot passages are never gathered: keys are counted with partial
-sums, sorting ranges over content and document splits equal suffixes
-over tasks, and a run's earliest member is a partial minimum.  Copies of a
+of 5 words is the least of 26 consecutive ones (a minimiser).  Any two equal runs of 50
+words have the same first minimiser within their first 26 words, so they share a
+kept suffix with at least 25 words to its right.  Kept suffixes are sorted over the
+cluster by the hash of their first 25 words, and each is compared with its
+neighbours; those that differ from both are let go.  The rest are extended to the left and right: each
+50-word window that begins up to 25 words left of such a suffix is hashed,
+equal windows of different documents are a match, and the union
+of matching windows is the maximal repeated span.  The result is the same as
+if all windows of all documents had been compared.
+
+A word is removable when a window over it occurs in an earlier document
+(least id first), so the earliest occurrence of a passage always stays.
+
+Scale.  Texts are hashed where they lie.  Hot passages are never gathered: sorting ranges over
+(prefix, document, place), so equal suffixes spread over tasks (the first and last of a task stay
+in, whatever they equal), and a window's first document is a partial minimum.  Copies of a
 whole text are found first and enter with one member.
 
 Defined results: null, empty and short texts (under 50 words) have no
 repeated passages; rows with a null id are left alone; of unequal texts
 under one id only one takes part; rows that repeat a document are one
 document; a repeat inside one document does not count; ties fall to the
-smaller id; other columns are not touched.
+smaller id; an empty table gives an empty result; other columns are not touched.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .decontaminate import content
 from .shared import Scratch, small_side
@@ -44,8 +42,6 @@ MIN_WORDS = 50
 SAMPLE = 26
 GRAM = 5
 PREFIX = MIN_WORDS - SAMPLE + 1
-SIDE = 25
-CONTEXT = "key bigint, doc bigint, pos int, rest binary, back binary"
 
 
 def minimisers(h: np.ndarray) -> np.ndarray:
@@ -84,138 +80,57 @@ def anchors(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(places))], names=["key", "doc", "pos"])
 
 
-def contexts(batches):
-    """The chosen suffixes of each row with the words around them."""
-    for batch in batches:
-        ids, chosen, row = batch.column(0), batch.column(2), 0
-        out: list[list] = [[] for _ in range(5)]
-        for b in blocks(batch.column(1)):
-            s, e, first = b.spans(NOT_SPACE)
-            h = b.hashes(s, e)
-            k, k_first = grams(h, first, PREFIX, short=False)
-            small = (h >> np.uint64(32)).astype(">u4")
-            for i in range(b.rows):
-                own = np.concatenate([np.zeros(SIDE, ">u4"), small[first[i] : first[i + 1]], np.zeros(SIDE, ">u4")])
-                at = np.unique(np.array(chosen[row + i].as_py(), dtype=np.int64))
-                # Nothing equals a place outside the text, not even another one.
-                own[:SIDE] = own[-SIDE:] = 0
-                rest = own[(at + SIDE + PREFIX)[:, None] + np.arange(SIDE)] if len(at) else np.zeros((0, SIDE), ">u4")
-                back = own[(at + SIDE - 1)[:, None] - np.arange(SIDE)] if len(at) else np.zeros((0, SIDE), ">u4")
-                out[0].append(k[k_first[i] + at].view(np.int64))
-                out[1].append(np.full(len(at), ids[row + i].as_py(), dtype=np.int64))
-                out[2].append(at.astype(np.int32))
-                out[3].append(rest)
-                out[4].append(back)
-            row += b.rows
-        if out[0]:
-            key, doc, pos = (np.concatenate(x) for x in out[:3])
-            rest, back = (_binary(np.concatenate(x)) for x in out[3:])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(pos), rest, back], names=["key", "doc", "pos", "rest", "back"])
-
-
-def _binary(x: np.ndarray) -> pa.Array:
-    data = np.ascontiguousarray(x)
-    at = pa.array(np.arange(0, (len(x) + 1) * SIDE * 4, SIDE * 4, dtype=np.int32))
-    return pa.Array.from_buffers(pa.binary(), len(x), [None, at.buffers()[1], pa.py_buffer(data.tobytes())])
-
-
-def _words(column: pa.Array) -> np.ndarray:
-    return np.array([np.frombuffer(x, dtype=">u4") for x in column.to_pylist()], dtype=np.uint32).reshape(len(column), SIDE)
-
-
-def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many words agree from the start, row by row; a zero is no word."""
-    same = (x == y) & (x != 0)
-    return np.where(same.all(axis=1), SIDE, (~same).argmax(axis=1))
-
-
 def neighbours(batches):
-    """Rows in suffix order, compared with the row before and after; runs of agreeing rows are numbered."""
-    import pyspark
-
-    context = pyspark.TaskContext.get()
-    part, run, held = context.partitionId(), 0, None
-    n_out = 7
-
-    def emit(rows, left, right, group):
-        keep = group >= 0
-        idx = np.flatnonzero(keep)
-        if len(idx):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(idx), part, dtype=np.int32)), pa.array(group[idx]), *[rows.column(c).take(pa.array(idx)) for c in range(n_out - 2)], pa.array(left[idx].astype(np.int32)), pa.array(right[idx].astype(np.int32))],
-                names=["part", "run", "key", "doc", "pos", "rest", "back", "l", "r"],
-            )
-
-    # One row is held back at each batch's end, until its right neighbour is known.
-    tail_left = tail_right = 0
-    tail_group = -1
+    """Of suffixes in order, (doc, pos) of those whose prefix equals that of the one before or after, and of a task's first and last."""
+    held = None
+    before = None
     for batch in batches:
         if not batch.num_rows:
             continue
+        # One row is held back until its right neighbour is known.
         rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        key, doc = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-        rest, back = _words(rows.column(3)), _words(rows.column(4))
-        n = rows.num_rows
-        r = agreement(rest[1:], rest[:-1])
-        l = agreement(back[1:], back[:-1])
-        ok = (key[1:] == key[:-1]) & (doc[1:] != doc[:-1]) & (l + r + PREFIX >= MIN_WORDS)
-        # Rows of one document may lie between two others; they join the run if they agree, but span nothing.
-        joined = (key[1:] == key[:-1]) & (l + r + PREFIX >= MIN_WORDS)
-        starts = np.ones(n, dtype=bool)
-        starts[1:] = ~joined
-        if held is not None:
-            starts[0] = True
-        number = np.cumsum(starts) - 1
-        base = run
-        group = np.full(n, -1, dtype=np.int64)
-        member = np.zeros(n, dtype=bool)
-        member[1:] |= joined
-        member[:-1] |= joined
-        group[member] = base + number[member]
-        left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for lo, hi in ((slice(1, None), slice(0, -1)), (slice(0, -1), slice(1, None))):
-            better = ok & (l + r > left[lo] + right[lo])
-            left[lo] = np.where(better, l, left[lo])
-            right[lo] = np.where(better, r, right[lo])
-        if held is not None:
-            if tail_group >= 0:  # the held row goes on with its run
-                same = number == 0
-                group[same] = tail_group
-            if tail_left + tail_right > left[0] + right[0]:
-                left[0], right[0] = tail_left, tail_right
-        run = base + int(number[-1]) + 1
-        yield from emit(rows.slice(0, n - 1), left[:-1], right[:-1], group[:-1])
-        held, tail_left, tail_right, tail_group = rows.slice(n - 1, 1), left[-1], right[-1], group[-1]
+        key = rows.column(0).to_numpy()
+        same = key[1:] == key[:-1]
+        keep = np.zeros(len(key), dtype=bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        keep[0] |= before is None or before == key[0]
+        idx = np.flatnonzero(keep[:-1])
+        if len(idx):
+            yield pa.RecordBatch.from_arrays([rows.column(c).take(pa.array(idx)) for c in (1, 2)], names=["doc", "pos"])
+        held = rows.slice(len(key) - 1, 1)
+        before = key[-2] if len(key) > 1 else before
     if held is not None:
-        yield from emit(held, np.array([tail_left]), np.array([tail_right]), np.array([tail_group]))
-
-
-RUNS = "part int, run bigint, key bigint, doc bigint, pos int, rest binary, back binary, l int, r int"
-
+        yield pa.RecordBatch.from_arrays([held.column(1), held.column(2)], names=["doc", "pos"])
 
-def compare(xr: pa.Array, xb: pa.Array, yr: pa.Array, yb: pa.Array) -> pa.Array:
-    left, right = agreement(_words(xb), _words(yb)), agreement(_words(xr), _words(yr))
-    return pa.StructArray.from_arrays([pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))], names=["l", "r"])
 
+def windows(batches):
+    """(window, doc, pos) of the windows to the left of each chosen suffix, up to those that it begins."""
+    for batch in batches:
+        ids, chosen, row = batch.column(0).to_pylist(), batch.column(2), 0
+        out: list[list[np.ndarray]] = [[], [], []]
+        for b in blocks(batch.column(1)):
+            s, e, first = b.spans(NOT_SPACE)
+            w, w_first = grams(b.hashes(s, e), first, MIN_WORDS, short=False)
+            for i in range(b.rows):
+                n = w_first[i + 1] - w_first[i]
+                at = np.array(chosen[row + i].as_py(), dtype=np.int64)
+                starts = np.unique(at[:, None] - np.arange(SAMPLE))
+                starts = starts[(starts >= 0) & (starts < n)]
+                out[0].append(w[w_first[i] + starts])
+                out[1].append(np.full(len(starts), ids[row + i], dtype=np.int64))
+                out[2].append(starts.astype(np.int32))
+            row += b.rows
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0]).view(np.int64)), pa.array(np.concatenate(out[1])), pa.array(np.concatenate(out[2]))], names=["window", "doc", "pos"])
 
-def _round(scratch: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """One sort: (members with their best neighbour, removals, members still open, earliest of the runs)."""
-
-    @F.arrow_udf("struct<l:int,r:int>")
-    def shared_words(xr: pa.Array, xb: pa.Array, yr: pa.Array, yb: pa.Array) -> pa.Array:
-        return compare(xr, xb, yr, yb)
 
-    order = ["key", "rest", "doc", "pos"]
-    members = scratch.save(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(neighbours, RUNS))
-    first = members.groupBy("part", "run").agg(F.min(F.struct("doc", "pos", "rest", "back")).alias("m"))
-    met = members.join(first, ["part", "run"]).where("doc <> m.doc or pos = m.pos")
-    met = met.withColumn("x", shared_words("rest", "back", F.col("m.rest"), F.col("m.back")))
-    judged = scratch.save(met.select("key", "doc", "pos", "rest", "back", "l", "r", F.col("m.doc").alias("m_doc"), F.col("m.pos").alias("m_pos"), F.col("x.l").alias("xl"), F.col("x.r").alias("xr")))
-    enough = f"xl + xr + {PREFIX} >= {MIN_WORDS}"
-    gone = judged.where(f"doc <> m_doc and {enough}").select("doc", F.expr("pos - xl").alias("s"), F.expr(f"pos + {PREFIX} + xr").alias("e"), F.col("m_doc").alias("first"))
-    again = judged.where(f"doc <> m_doc and not ({enough})").select("key", "doc", "pos", "rest", "back")
-    least = judged.where("doc = m_doc and pos = m_pos").select("key", "doc", "pos", "rest", "back")
-    return members.where("l + r > 0 or part is not null"), gone, again, least
+def spans_of(met: DataFrame, first: Column, which: str) -> DataFrame:
+    """(doc, s, e, first) of windows (doc, s, first): those whose starts follow closely are one span."""
+    w = Window.partitionBy("doc").orderBy("s")
+    new = met.where(which).withColumn("n", F.coalesce((F.col("s") > F.lag("s").over(w) + MIN_WORDS).cast("int"), F.lit(1)))
+    runs = new.withColumn("run", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc", "run").agg(F.min("s").alias("s"), (F.max("s") + MIN_WORDS).alias("e"), first.alias("first")).select("doc", "s", "e", "first")
 
 
 def repeats(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -234,37 +149,20 @@ def repeats(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: str
         one = one.join(small_side(scratch, twice), "doc", "left_anti").unionByName(several)
     one = one.select("doc", "t")
 
-    at = one.mapInArrow(anchors, "key bigint, doc bigint, pos int")
-    keys = scratch.save(at.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
-    chosen = at.join(small_side(scratch, keys), "key").groupBy("doc").agg(F.collect_list("pos").alias("at"))
-    chosen = scratch.save(chosen)
-    found = one.join(small_side(scratch, chosen), "doc").select("doc", "t", "at").mapInArrow(contexts, CONTEXT)
-
-    spans = []
-
-    def turn(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        members, gone, again, least = _round(scratch, rows)
-        own = members.where("l + r > 0").select("doc", F.expr("pos - l").alias("s"), F.expr(f"pos + {PREFIX} + r").alias("e"), F.lit(None).cast("long").alias("first"))
-        spans.append(own.unionByName(gone))
-        return again, least
-
-    again, least = turn(found)
-    leasts = [least]
-    while not again.isEmpty():
-        again, least = turn(again)
-        leasts.append(least)
-    every = leasts[0]
-    for x in leasts[1:]:
-        every = every.unionByName(x)
-    turn(every.distinct())
+    order = ["key", "doc", "pos"]
+    at = one.mapInArrow(anchors, "key bigint, doc bigint, pos int").repartitionByRange(*order).sortWithinPartitions(*order)
+    chosen = scratch.save(at.mapInArrow(neighbours, "doc bigint, pos int").groupBy("doc").agg(F.collect_list("pos").alias("at")))
+    found = scratch.save(one.join(small_side(scratch, chosen), "doc").select("doc", "t", "at").mapInArrow(windows, "window bigint, doc bigint, pos int"))
+    shared = found.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("window", "first")
+    met = found.join(shared, "window").select("doc", F.col("pos").alias("s"), F.when(F.col("first") < F.col("doc"), F.col("first")).alias("first"))
+    # Windows of one document in a row make one span.
+    met = scratch.save(met)
+    out = spans_of(met, F.lit(None).cast("long"), "true").unionByName(spans_of(met, F.min("first"), "first is not null"))
 
     # Copies of whole texts, if these are long enough.
     n_words = F.size(F.array_remove(F.split("t", r"[\x20\x09-\x0D]+"), ""))
     copied = texts.join(special, ["k1", "k2"]).select("doc", F.lit(0).alias("s"), n_words.alias("e"), F.when(F.col("rep") != F.col("doc"), F.col("rep")).alias("first")).where(f"e >= {MIN_WORDS}").distinct()
-    out = copied
-    for x in spans:
-        out = out.unionByName(x)
-    return out
+    return out.unionByName(copied)
 
 
 UNION = "aggregate(array_sort({0}), cast(array() as array<struct<s:int,e:int>>), (a, x) -> if(size(a) > 0 and element_at(a, -1).e >= x.s, concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e)))), concat(a, array(x))))"

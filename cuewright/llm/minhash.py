@@ -290,3 +290,15 @@ def deduplicate(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text:
         again = rest.join(twice, "_id", "left_semi").withColumn("_h", F.xxhash64(f"_row.{text}")).dropDuplicates(["_id", "_h"]).drop("_h")
         rest = rest.join(twice, "_id", "left_anti").unionByName(again)
     return rest.select("_row.*")
+
+
+#: The contract in DuckDB SQL: all pairs that share a shingle, and what each document reaches.
+ORACLE = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+sh as (select distinct doc_id, md5(array_to_string(w[i : i + 4], ' ')) as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b using (g) where a.doc_id <> b.doc_id group by 1, 2),
+e as (select x, y from p join n s on s.doc_id = x join n t on t.doc_id = y where 100 * c >= 85 * (s.n + t.n - c)),
+r as (select doc_id as d, doc_id as t from documents union select d, y from r join e on t = x)
+select d as doc_id, coalesce(max(n), 0) as n_shingles, min(t) as component_id, d = min(t) as kept from r left join n on n.doc_id = d group by d
+"""

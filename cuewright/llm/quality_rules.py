@@ -170,3 +170,30 @@ def keep(docs: DataFrame, scratch, *, text: str = "text", lang: str = "lang", so
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), metrics(F.col(text)).alias("_m"))
     held = held.withColumn("_lang", F.col(f"_row.`{lang}`")).withColumn("_source", F.col(f"_row.`{source}`"))
     return with_cutoffs(held, cuts, "_lang", "_source").where(verdict("_m")).select("_row.*")
+
+
+#: The contract in DuckDB SQL: metrics, sketches, cutoffs and verdict.
+ORACLE = r"""
+with d as (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as t from documents),
+w as (select rid, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from d),
+tri as (select rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select rid, w, unnest(range(1, len(w) - 1)) as i from w where len(w) >= 3)),
+rep as (select rid, count(distinct p) as n from (select rid, unnest(range(i, i + 3)) as p from (select *, count(*) over (partition by rid, g) as c from tri) where c > 1) group by rid),
+ln as (select rid, count(*) as n, count(distinct l) as u from (select rid, unnest(string_split(t, chr(10))) as l from d) where regexp_matches(l, '[^\x20\x09-\x0D]') group by rid),
+m as (select d.rid, doc_id, lang, source, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+  coalesce(ln.n - u, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, coalesce(ln.n, 0) as n_lines from d join w using (rid) left join rep using (rid) left join ln using (rid)),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, word_chars * 10 // greatest(n_words, 1) as word_len, n_symbols * 1000 // greatest(n_words, 1) as symbols,
+  greatest(n_dup_lines - 1, 0) * 1000 // greatest(n_lines, 1) as dup_lines, n_repeat_words * 1000 // greatest(n_words, 1) as repeats from m),
+x as (select lang, source, metric, cast(v as bigint) as v from (unpivot (select lang, source, word_len, symbols, dup_lines, repeats from b where not base_failed) on word_len, symbols, dup_lines, repeats into name metric value v)),
+h as (select lang, source, metric, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) as v, count(*) as c from x group by all),
+lv as (select 0 as level, lang, source, metric, v, c from h union all select 1, lang, null, metric, v, sum(c) from h group by lang, metric, v union all select 2, null, null, metric, v, sum(c) from h group by metric, v),
+cu as (select *, sum(c) over (partition by level, lang, source, metric order by v) as cum, sum(c) over (partition by level, lang, source, metric) as n from lv),
+q as (select level, lang, source, metric, max(n) as n, min(v) filter (cum * 100 >= n * 25) as q25, min(v) filter (cum * 100 >= n * 50) as q50, min(v) filter (cum * 100 >= n * 75) as q75 from cu group by 1, 2, 3, 4),
+s as (select *, case metric when 'word_len' then 10 when 'symbols' then 100 when 'dup_lines' then 200 else 150 end as slack from q),
+z as (select level, lang, source, max(n) as n, max(q50 - 4 * (q50 - q25) - slack) filter (metric = 'word_len') as low_word_len, max(q50 + 4 * (q75 - q50) + slack) filter (metric = 'word_len') as high_word_len,
+  max(q50 + 4 * (q75 - q50) + slack) filter (metric = 'symbols') as high_symbols, max(q50 + 4 * (q75 - q50) + slack) filter (metric = 'dup_lines') as high_dup_lines, max(q50 + 4 * (q75 - q50) + slack) filter (metric = 'repeats') as high_repeats from s group by 1, 2, 3),
+k as (select distinct lang, source from h),
+a as (select k.lang, k.source, z.* exclude (lang, source), row_number() over (partition by k.lang, k.source order by level) as o from k join z on (level = 0 and z.lang is not distinct from k.lang and z.source is not distinct from k.source and n >= 200) or (level = 1 and z.lang is not distinct from k.lang and n >= 200) or level = 2)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  coalesce(not base_failed and word_len <= high_word_len and word_len >= low_word_len and symbols <= high_symbols and dup_lines <= high_dup_lines and repeats <= high_repeats, false) as kept
+from b left join a on o = 1 and a.lang is not distinct from b.lang and a.source is not distinct from b.source
+"""

@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with passages of 50 words or more that other documents have too."""
     found = suffix_dedup.spans_by_document(table(spark, sf_dir, "documents"), Scratch(spark))
     words = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + (x["e"] - x["s"]))
-    return found.select("doc_id", words("repeated").alias("n_repeated"), words("removed").alias("n_removed"), "repeated", "removed", "sources")
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["s"].cast("string"), F.lit("-"), x["e"].cast("string"))), ",")
+    return found.select("doc_id", words("repeated").alias("n_repeated"), words("removed").alias("n_removed"), shown("repeated").alias("repeated"), shown("removed").alias("removed"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str, *, limit: int = 4096) -> DataFrame:
@@ -87,5 +88,8 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": minhash.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
+    "op8_quality_rules": quality_rules.ORACLE,
+    "op9_suffix_dedup": suffix_dedup.ORACLE,
 }

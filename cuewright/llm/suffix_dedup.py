@@ -219,3 +219,18 @@ def deduplicate(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text:
             old = F.when(changed, F.length("_new").cast(docs.schema[c].dataType)).otherwise(old)
         cols.append(old.alias(c))
     return held.select(*cols)
+
+
+#: The spans of :func:`spans_by_document` in DuckDB SQL, from all windows, as text.
+ORACLE = r"""
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+win as (select doc_id, i - 1 as s, md5(array_to_string(w[i : i + 49], ' ')) as g from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from w where len(w) >= 50)),
+f as (select g, min(doc_id) as first from win group by g having min(doc_id) <> max(doc_id)),
+m as (select doc_id, s, first < doc_id as gone from win join f using (g)),
+v as (select 'a' as k, doc_id, s from m union all select 'b', doc_id, s from m where gone),
+n as (select *, coalesce(cast(s > lag(s) over (partition by k, doc_id order by s) + 50 as int), 1) as fresh from v),
+r as (select *, sum(fresh) over (partition by k, doc_id order by s rows unbounded preceding) as run from n),
+sp as (select k, doc_id, min(s) as s, max(s) + 50 as e from r group by k, doc_id, run),
+t as (select k, doc_id, cast(sum(e - s) as bigint) as n, string_agg(s || '-' || e, ',' order by s) as spans from sp group by k, doc_id)
+select a.doc_id, a.n as n_repeated, coalesce(b.n, 0) as n_removed, a.spans as repeated, coalesce(b.spans, '') as removed from (select * from t where k = 'a') a left join (select * from t where k = 'b') b using (doc_id)
+"""

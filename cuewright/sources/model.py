@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 ACTIONS = "array<struct<daw string, track string, command string, value double>>"
@@ -28,22 +29,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Constant rows whose size the planner knows, so that joins with them are broadcast."""
+    fields = StructType.fromDDL(schema).fields
+    row = lambda r: F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, fields, strict=True)])
+    return spark.range(1).select(F.inline(F.array(*map(row, rows))))
+
+
 def seed_settings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i + 1, k, v) for i, (k, v) in enumerate(SEED_SETTINGS)], SETTINGS)
+    return literal(spark, [(i + 1, k, v) for i, (k, v) in enumerate(SEED_SETTINGS)], SETTINGS)
 
 
 def seed_mappings(spark: SparkSession) -> DataFrame:
     action = '{{"daw":"{0}","track":"DRUMS","command":"volume","value":1}}'
-    return spark.createDataFrame([(SEED_MACRO, "Drums up", "note", str(SEED_MACRO), f"[{action.format('reaper')},{action.format('ableton')}]")], MAPPINGS)
+    return literal(spark, [(SEED_MACRO, "Drums up", "note", str(SEED_MACRO), f"[{action.format('reaper')},{action.format('ableton')}]")], MAPPINGS)
 
 
 def seed_arrangement(spark: SparkSession) -> DataFrame:
     blocks = ",".join(f'{{"id":{i},"name":"{n}","length":{k}}}' for i, n, k in SEED_BLOCKS)
-    return spark.createDataFrame([(1, "Default", f'{{"blocks":[{blocks}]}}')], ARRANGEMENT)
+    return literal(spark, [(1, "Default", f'{{"blocks":[{blocks}]}}')], ARRANGEMENT)
 
 
 def daws(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *x) for i, x in enumerate(TARGETS)], "daw_pos int, daw string, host string, port int")
+    return literal(spark, [(i, *x) for i, x in enumerate(TARGETS)], "daw_pos int, daw string, host string, port int")
 
 
 def event_columns() -> list[Column]:
@@ -83,7 +91,7 @@ def macros(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def track_map(spark: SparkSession, tracks: str | None = TRACKS) -> DataFrame:
     """Tracks of a comma list, numbered from 1; nothing is trimmed and empty names stay."""
-    one = spark.createDataFrame([(tracks,)], "value string")
+    one = spark.range(1).select(F.lit(tracks).cast("string").alias("value"))
     return one.select(F.posexplode(F.split("value", ",")).alias("pos", "track")).select("track", (F.col("pos") + 1).cast("int").alias("idx"))
 
 

@@ -104,33 +104,50 @@ def neighbours(batches):
         yield pa.RecordBatch.from_arrays([held.column(1), held.column(2)], names=["doc", "pos"])
 
 
+def inside_runs(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places in runs of one word that begin at the given places; minimisers do not fall inside runs."""
+    ends = np.flatnonzero(np.append(h[1:] != h[:-1], True))
+    stop = ends[np.searchsorted(ends, at)] if len(at) else at
+    long = stop > at + GRAM
+    return np.concatenate([np.arange(a, z) for a, z in zip(at[long], stop[long], strict=True)]) if long.any() else at[:0]
+
+
 def windows(batches):
-    """(window, doc, pos) of the windows to the left of each chosen suffix, up to those that it begins."""
+    """(window, doc, pos, last) of the windows to the left of each chosen suffix, up to those that it begins.
+
+    Equal windows at places in a row (a run of one word) are one row, from pos to last.
+    """
     for batch in batches:
         ids, chosen, row = batch.column(0).to_pylist(), batch.column(2), 0
-        out: list[list[np.ndarray]] = [[], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], []]
         for b in blocks(batch.column(1)):
             s, e, first = b.spans(NOT_SPACE)
-            w, w_first = grams(b.hashes(s, e), first, MIN_WORDS, short=False)
+            h = b.hashes(s, e)
+            w, w_first = grams(h, first, MIN_WORDS, short=False)
             for i in range(b.rows):
                 n = w_first[i + 1] - w_first[i]
                 at = np.array(chosen[row + i].as_py(), dtype=np.int64)
-                starts = np.unique(at[:, None] - np.arange(SAMPLE))
+                starts = np.unique(np.concatenate([(at[:, None] - np.arange(SAMPLE)).ravel(), inside_runs(h[first[i] : first[i + 1]], at)]))
                 starts = starts[(starts >= 0) & (starts < n)]
-                out[0].append(w[w_first[i] + starts])
-                out[1].append(np.full(len(starts), ids[row + i], dtype=np.int64))
-                out[2].append(starts.astype(np.int32))
+                own = w[w_first[i] + starts]
+                new = np.ones(len(own), dtype=bool)
+                new[1:] = (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)
+                begin = np.flatnonzero(new)
+                out[0].append(own[begin])
+                out[1].append(np.full(len(begin), ids[row + i], dtype=np.int64))
+                out[2].append(starts[begin].astype(np.int32))
+                out[3].append(starts[np.append(begin[1:], len(own))[: len(begin)] - 1].astype(np.int32))
             row += b.rows
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0]).view(np.int64)), pa.array(np.concatenate(out[1])), pa.array(np.concatenate(out[2]))], names=["window", "doc", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0]).view(np.int64)), pa.array(np.concatenate(out[1])), pa.array(np.concatenate(out[2])), pa.array(np.concatenate(out[3]))], names=["window", "doc", "pos", "last"])
 
 
 def spans_of(met: DataFrame, first: Column, which: str) -> DataFrame:
-    """(doc, s, e, first) of windows (doc, s, first): those whose starts follow closely are one span."""
+    """(doc, s, e, first) of windows (doc, s to t, first): those whose starts follow closely are one span."""
     w = Window.partitionBy("doc").orderBy("s")
-    new = met.where(which).withColumn("n", F.coalesce((F.col("s") > F.lag("s").over(w) + MIN_WORDS).cast("int"), F.lit(1)))
+    new = met.where(which).withColumn("n", F.coalesce((F.col("s") > F.lag("t").over(w) + MIN_WORDS).cast("int"), F.lit(1)))
     runs = new.withColumn("run", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("doc", "run").agg(F.min("s").alias("s"), (F.max("s") + MIN_WORDS).alias("e"), first.alias("first")).select("doc", "s", "e", "first")
+    return runs.groupBy("doc", "run").agg(F.min("s").alias("s"), (F.max("t") + MIN_WORDS).alias("e"), first.alias("first")).select("doc", "s", "e", "first")
 
 
 def repeats(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -152,9 +169,9 @@ def repeats(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: str
     order = ["key", "doc", "pos"]
     at = one.mapInArrow(anchors, "key bigint, doc bigint, pos int").repartitionByRange(*order).sortWithinPartitions(*order)
     chosen = scratch.save(at.mapInArrow(neighbours, "doc bigint, pos int").groupBy("doc").agg(F.collect_list("pos").alias("at")))
-    found = scratch.save(one.join(small_side(scratch, chosen), "doc").select("doc", "t", "at").mapInArrow(windows, "window bigint, doc bigint, pos int"))
-    shared = found.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("window", "first")
-    met = found.join(shared, "window").select("doc", F.col("pos").alias("s"), F.when(F.col("first") < F.col("doc"), F.col("first")).alias("first"))
+    found = scratch.save(one.join(small_side(scratch, chosen), "doc").select("doc", "t", "at").mapInArrow(windows, "window bigint, doc bigint, pos int, last int"))
+    shared = found.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("other")).where("first <> other").select("window", "first")
+    met = found.join(shared, "window").select("doc", F.col("pos").alias("s"), F.col("last").alias("t"), F.when(F.col("first") < F.col("doc"), F.col("first")).alias("first"))
     # Windows of one document in a row make one span.
     met = scratch.save(met)
     out = spans_of(met, F.lit(None).cast("long"), "true").unionByName(spans_of(met, F.min("first"), "first is not null"))

@@ -18,8 +18,8 @@ def auc(scores, y):
     return (rank[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1))
 
 
-def held_out_auc(spark, scratch, model, label):
-    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+def held_out_auc(spark, scratch, model, label, sf=SF):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     got = model.score(docs, labels, scratch).join(labels, "doc_id").toPandas()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got.itertuples())
     assert got.score.between(0, 1).all() and (got.predicted == (got.score >= model.THRESHOLD)).all()
@@ -32,7 +32,8 @@ def test_quality_on_held_out_rows(spark, scratch):
 
 
 def test_toxicity_on_held_out_rows(spark, scratch):
-    assert held_out_auc(spark, scratch, toxicity, "toxic") > 0.8
+    """On the larger tables: the smaller ones have only six toxic rows held out (AUC there: 0.74)."""
+    assert held_out_auc(spark, scratch, toxicity, "toxic", "/root/testdata/sf0.1") > 0.93
 
 
 def test_models_on_odd_tables(spark, scratch):

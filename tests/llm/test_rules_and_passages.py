@@ -118,3 +118,9 @@ def test_passages_of_odd_rows_and_removal(spark, scratch):
         else:
             assert texts[r[0]].text == r[1]
     assert S.spans_by_document(empty(spark), scratch).count() == 0 and S.deduplicate(empty(spark), scratch).count() == 0
+
+
+def test_passages_of_one_word(spark, scratch):
+    rnd = random.Random(7)
+    rows = [(i, " ".join(words(rnd, 20, 10**6) + ["same"] * (45 + 5 * i) + words(rnd, 20, 10**6)), "en", "s", 0) for i in range(6)]
+    assert spans(S.spans_by_document(frame(spark, rows), scratch)) == repeated(rows)

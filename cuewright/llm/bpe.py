@@ -10,7 +10,7 @@ merged alone; the loader verifies this on the vocabulary.  Inside a unit, two
 neighbouring characters that no piece holds side by side cannot merge either,
 so units are cut there too.  What remains is merged by popping the
 lowest-ranked adjacent pair from a heap over a linked list of symbols.  Units
-recur, so results are kept in tables of bounded size in each worker.
+recur, so results are kept in tables of bounded size in each task.
 
 Defined results: a null text counts as empty for counts and gives null when
 encoded; an empty text has no tokens; characters outside the vocabulary
@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .textkit import mix
 
 MARK = "▁"
-#: Entries of a generation of finished units; a worker's table has two at most.
+#: Entries of a generation of finished units; a task's table has two at most.
 TABLE_ENTRIES = 300_000
 MASK = (1 << 64) - 1
 
@@ -202,8 +203,8 @@ class Encoder:
         self.vocabulary = vocabulary
         drawn = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64((seed << 16) & MASK)) >> np.uint64(32)
         self.skip = (drawn < np.uint64(int(dropout * 2**32))).astype(np.uint8).tobytes() if dropout > 0 else None
-        self.words = Table(lambda word: self.unit(1, word), TABLE_ENTRIES // 2)
-        self.parts = Table(self.part, TABLE_ENTRIES // 2)
+        self.words = Table(lambda word: self.unit(1, word), TABLE_ENTRIES)
+        self.parts = Table(self.part, TABLE_ENTRIES // 3)
         self.escape = tuple(vocabulary.byte_id[b] for b in MARK.encode())
 
     def unit(self, marks: int, word: str) -> array:
@@ -268,15 +269,10 @@ def token_counts(text: Column, model: bytes) -> Column:
     """The number of tokens of each text; no ids are made."""
 
     @F.arrow_udf("bigint")
-    def count_tokens(texts: pa.Array) -> pa.Array:
-        key = "count", zlib.crc32(model), len(model)
-        counter = _loaded.get(key)
-        if counter is None:
-            counter = _loaded[key] = Counter(vocabulary_of(model))
-        out = np.empty(len(texts), dtype=np.int64)
-        for i, t in enumerate(texts):
-            out[i] = counter.count(t.as_py())
-        return pa.array(out)
+    def count_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        counter = Counter(vocabulary_of(model))  # its tables go with the task
+        for texts in batches:
+            yield pa.array(np.array([counter.count(t.as_py()) for t in texts], dtype=np.int64))
 
     return count_tokens(text)
 
@@ -290,8 +286,7 @@ def encode(text: Column, key: Column, model: bytes, dropout: float = 0.1, seed:
     others.  The same seed and key always give the same ids.
     """
 
-    @F.arrow_udf("struct<ids:array<int>,lossless:boolean>")
-    def encode_pieces(texts: pa.Array, keys: pa.Array) -> pa.Array:
+    def encode_batch(encoders: list[Encoder], texts: pa.Array, keys: pa.Array) -> pa.Array:
         v = vocabulary_of(model)
         flat, at, ok = array("i"), [0], []
         for t, k in zip(texts, keys, strict=True):
@@ -301,11 +296,7 @@ def encode(text: Column, key: Column, model: bytes, dropout: float = 0.1, seed:
                 ok.append(None)
                 continue
             own = (k.as_py() or 0) * 0x9E3779B97F4A7C15 & MASK
-            which = "encode", zlib.crc32(model), dropout, seed, (own >> 40) % variants
-            encoder = _loaded.get(which)
-            if encoder is None:
-                encoder = _loaded[which] = Encoder(v, dropout, seed * variants + which[-1])
-            ids = encoder.encode(s)
+            ids = encoders[(own >> 40) % variants].encode(s)
             ok.append(decode_ids(v, ids) == s)
             flat.extend(ids)
             at.append(len(flat))
@@ -313,6 +304,12 @@ def encode(text: Column, key: Column, model: bytes, dropout: float = 0.1, seed:
         ids = pa.ListArray.from_arrays(pa.array(at, type=pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else np.zeros(0, np.int32)), mask=nulls)
         return pa.StructArray.from_arrays([ids, pa.array(ok, type=pa.bool_())], names=["ids", "lossless"])
 
+    @F.arrow_udf("struct<ids:array<int>,lossless:boolean>")
+    def encode_pieces(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        encoders = [Encoder(vocabulary_of(model), dropout, seed * variants + i) for i in range(variants)]  # their tables go with the task
+        for texts, keys in batches:
+            yield encode_batch(encoders, texts, keys)
+
     return encode_pieces(text, key)
 
 

@@ -90,7 +90,8 @@ def metrics(text: Column) -> Column:
     def base_metrics(texts: pa.Array) -> pa.Array:
         return measure(texts)
 
-    return base_metrics(text)
+    # Not to be worked out again for each condition that reads it.
+    return base_metrics.asNondeterministic()(text)
 
 
 def base_failed(m: str) -> Column:

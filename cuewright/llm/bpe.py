@@ -37,7 +37,7 @@ from .textkit import mix
 
 MARK = "▁"
 #: Entries of a generation of finished units; a task's table has two at most.
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 100_000
 MASK = (1 << 64) - 1
 
 

@@ -1,17 +1,19 @@
 """Sharding by vector bin packing over bytes, tokens and rows.
 
-Documents of equal text form a group and stay together.  A group too large
-for an even result (over ``1 / (shards * PIECES)`` of the bytes or rows) is
-split by a hash of its ids into pieces below that size; all other groups fall by the
-hash of their text into ``shards * CELLS`` cells.  Cells and pieces are the
-items that are packed, largest first, each into the shard where the dot product of its
+Documents of equal text form a group and stay together.  Only a group that
+cannot fit a shard evenly (over ``1 - TOLERANCE`` of ``1 / shards`` of the bytes or rows)
+is split, by a hash of its ids into pieces of about ``1 / (shards * PIECES)``.  Smaller groups
+of copies above that size are packed whole, and all others fall by the
+hash of their text into ``shards * CELLS`` cells.  Pieces of split groups, large groups and cells are the
+units that are packed, largest first, each into the shard where the dot product of its
 (bytes, tokens, rows), as shares of the total, with the shard's residual
-capacity is highest among the shards that still have room for its bytes.  The number of items
+capacity is highest among the shards that still have room for its bytes.  The number of units
 is bounded by the parameters, not by the data, so the packing runs on
 the driver; everything else is aggregation with partial sums.
 
 A document's slot is its item's offset in the shard plus its rank in the
-item, so no task ever orders a whole shard.
+item.  Items are cells, and pieces of large groups whether split or not, so no task ever
+orders a whole shard or a whole large group.
 
 Defined results: a null text has no bytes (size 8) and no checksum (that of the empty text); rows that
 repeat a document get slots of their own; null ids sort first; an empty
@@ -31,6 +33,8 @@ SHARDS = 24
 OVERHEAD = 8
 CELLS = 256
 PIECES = 64
+#: A group over this much less than a shard's even share is split.
+TOLERANCE = 1 / 8
 
 
 def pack(items: np.ndarray, shards: int) -> np.ndarray:
@@ -60,19 +64,25 @@ def shard(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: str =
     groups = scratch.save(base.groupBy("k1", "k2").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r")))
     total = groups.agg(F.sum("b"), F.sum("r")).first()
     most = [max(1, (x or 0) // (shards * PIECES)) for x in total]
+    room = [(x or 0) * (1 - TOLERANCE) / shards for x in total]
     pieces = F.greatest(F.ceil(F.col("b") / most[0]), F.ceil(F.col("r") / most[1])).cast("long")
+    split = (F.col("b") > room[0]) | (F.col("r") > room[1])
     # Each of these holds a fixed share of the total, so there are under 2 * shards * PIECES.
-    heavy = F.broadcast(groups.where(f"r > 1 and (b > {most[0]} or r > {most[1]})").select("k1", "k2", pieces.alias("pieces")))
+    heavy = F.broadcast(groups.where(f"r > 1 and (b > {most[0]} or r > {most[1]})").select("k1", "k2", pieces.alias("pieces"), split.alias("split")))
     piece = F.pmod(F.xxhash64("id", F.lit(3)), F.col("pieces"))
     item = F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("k1", "k2"), F.lit(shards * CELLS))).otherwise(F.lit(shards * CELLS) + F.pmod(F.xxhash64("k1", "k2", piece), F.lit(1 << 40)))
-    placed = scratch.save(base.join(heavy, ["k1", "k2"], "left").select("id", "size", "crc", "tokens", item.alias("item")))
-    sums = placed.groupBy("item").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r")).orderBy("item").collect()  # bounded: cells and pieces
-    at = pack(np.array([[x.b, x.t, x.r] for x in sums], dtype=np.int64).reshape(-1, 3), shards)
+    unit = F.when(F.col("pieces").isNull() | F.col("split"), item).otherwise(F.lit(shards * CELLS) + F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 40)))
+    placed = scratch.save(base.join(heavy, ["k1", "k2"], "left").select("id", "size", "crc", "tokens", item.alias("item"), unit.alias("unit")))
+    sums = placed.groupBy("item", "unit").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r")).orderBy("item", "unit").collect()  # bounded: cells and pieces
+    units, of = np.unique(np.array([x.unit for x in sums], dtype=np.int64), return_inverse=True)
+    loads = np.zeros((len(units), 3), dtype=np.int64)
+    np.add.at(loads, of, np.array([[x.b, x.t, x.r] for x in sums], dtype=np.int64).reshape(-1, 3))
+    at = pack(loads, shards)[of]
     offset, rows = [0] * shards, []
     for x, k in zip(sums, at, strict=True):
-        rows.append((x.item, int(k), offset[k]))
+        rows.append((x.item, x.unit, int(k), offset[k]))
         offset[k] += x.r
-    where = F.broadcast(scratch.spark.createDataFrame(rows, "item bigint, shard int, first bigint"))
-    rank = F.row_number().over(Window.partitionBy("item").orderBy("id", "crc", "size")) - 1
-    out = placed.withColumn("rank", rank).join(where, "item")
+    where = F.broadcast(scratch.spark.createDataFrame(rows, "item bigint, unit bigint, shard int, first bigint"))
+    rank = F.row_number().over(Window.partitionBy("item", "unit").orderBy("id", "crc", "size")) - 1
+    out = placed.withColumn("rank", rank).join(where, ["item", "unit"])
     return out.select(F.col("id").alias(id), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "tokens")

@@ -111,6 +111,20 @@ def test_sharding(spark, scratch):
     assert sharding.shard(empty(spark), scratch).count() == 0
 
 
+def test_sharding_keeps_copies_that_fit_together(spark, scratch):
+    rows = [(i, f"text {i // 2 if i < 80 else i} " + "x" * (i // 2 if i < 80 else 20), "en", "s", 0) for i in range(400)]
+    rows += [(1000 + i, "ten copies", "en", "s", 0) for i in range(10)] + [(2000 + i, "too many copies to fit", "en", "s", 0) for i in range(60)]
+    got = sharding.shard(frame(spark, rows), scratch).collect()
+    where = {r[0]: r[1] for r in rows}
+    at, by = {}, {}
+    for r in got:
+        at.setdefault(where[r.doc_id], set()).add(r.shard)
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(at.pop("too many copies to fit")) > 1
+    assert all(len(x) == 1 for x in at.values())
+    assert len(by) == 24 and all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
 def test_packing_takes_the_best_dot_product():
     rng = np.random.default_rng(2)
     items = rng.integers(1, 100, (500, 3))

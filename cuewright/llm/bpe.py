@@ -12,6 +12,12 @@ so units are cut there too.  What remains is merged by popping the
 lowest-ranked adjacent pair from a heap over a linked list of symbols.  Units
 recur, so results are kept in tables of bounded size in each task.
 
+Merge-dropout draws for each candidate merge of each unit of each document:
+the gaps between skipped candidates are geometric and follow from the seed, the
+document's key and the unit's place.  A table serves units with nothing skipped; where
+candidates are skipped, the part is merged anew with exactly those left out, and short
+parts with the same ones left out are looked up.
+
 Defined results: a null text counts as empty for counts and gives null when
 encoded; an empty text has no tokens; characters outside the vocabulary
 become their UTF-8 bytes, one token each; special strings inside a text are
@@ -27,6 +33,8 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain, repeat
+from math import log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +46,11 @@ from .textkit import mix
 MARK = "▁"
 #: Entries of a generation of finished units; a task's table has two at most.
 TABLE_ENTRIES = 100_000
+#: Longest part whose results with candidates skipped are kept; longer ones are merged anew each time, with equal results.
+KEPT_PART = 24
 MASK = (1 << 64) - 1
+GOLDEN = 0x9E3779B97F4A7C15
+NEVER = 1 << 62
 
 
 class Table(dict):
@@ -102,12 +114,11 @@ class Vocabulary:
                 start = i
         yield unit[start:]
 
-    def merge(self, part: str, skip: bytes | None = None, key: int = 0) -> tuple[list[str | None], int]:
-        """The symbols of a part after all merges (None: merged into one on the left), and the number of merges.
+    def merge(self, part: str, skips: Iterator[int] = repeat(NEVER)) -> tuple[list[str | None], int, int]:
+        """The symbols of a part after all merges (None: merged into one on the left), the number of candidates met, and the skip then due.
 
-        ``skip`` tells for each value of a 16-bit hash whether a candidate is
-        skipped; the hash is keyed by ``key`` and takes the candidate's rank and
-        place.  A skipped pair stays apart unless one of its sides changes.
+        ``skips`` gives, ascending, the candidates to skip, counted from 0 as
+        they come from the heap.  A skipped pair stays apart unless one of its sides changes.
         """
         rank = self.rank
         n = len(part)
@@ -121,20 +132,21 @@ class Vocabulary:
                 due[i] = r
                 heap.append(r * n + i)
         heapify(heap)
-        merges = 0
+        met, skip = 0, next(skips)
         while heap:
             r, i = divmod(heappop(heap), n)
             if due[i] != r:
                 continue
-            if skip is not None and skip[(key ^ (r * 40503 + i * 10007)) & 0xFFFF]:
+            met += 1
+            if met > skip:
                 due[i] = -1
+                skip = next(skips)
                 continue
             j = after[i]
             symbols[i] += symbols[j]
             symbols[j] = None
             due[j] = -1
             k = after[i] = after[j]
-            merges += 1
             if k < n:
                 before[k] = i
                 r = rank.get(symbols[i] + symbols[k], -1)
@@ -149,7 +161,14 @@ class Vocabulary:
                 due[k] = r
                 if r >= 0:
                     heappush(heap, r * n + k)
-        return symbols, merges
+        return symbols, met, skip
+
+
+def mixed(x: int) -> int:
+    """The splitmix64 finaliser of one value, as ``mix`` has it for many."""
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & MASK
+    return x ^ (x >> 31)
 
 
 def units(text: str):
@@ -183,7 +202,7 @@ class Counter:
 
     def part(self, part: str) -> int:
         v = self.vocabulary
-        symbols, merges = v.merge(part)
+        symbols, merges, _ = v.merge(part)
         return len(part) - merges + sum(len(s.encode()) - 1 for s in symbols if s is not None and s not in v.ids)
 
     def count(self, text: str | None) -> int:
@@ -197,32 +216,52 @@ class Counter:
 
 
 class Encoder:
-    """Token ids with merges skipped by keyed hash; units and parts are kept in bounded tables."""
+    """Token ids with merges skipped by keyed hash; units and parts are kept in bounded tables.
+
+    Tables hold (ids, number of candidates) of words and parts with nothing
+    skipped, and of (part, skipped candidates).
+    """
 
     def __init__(self, vocabulary: Vocabulary, dropout: float = 0.0, seed: int = 0):
         self.vocabulary = vocabulary
-        drawn = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64((seed << 16) & MASK)) >> np.uint64(32)
-        self.skip = (drawn < np.uint64(int(dropout * 2**32))).astype(np.uint8).tobytes() if dropout > 0 else None
-        self.words = Table(lambda word: self.unit(1, word), TABLE_ENTRIES)
+        self.seed = mixed((seed + 1) * GOLDEN & MASK)
+        self.log_kept = 0.0 if dropout <= 0 else log1p(-dropout) if dropout < 1 else float("-inf")
+        self.words = Table(self.word, TABLE_ENTRIES)
         self.parts = Table(self.part, TABLE_ENTRIES // 3)
+        self.varied = Table(lambda key: self.part(key[0], iter((*key[1], NEVER))), TABLE_ENTRIES // 3)
         self.escape = tuple(vocabulary.byte_id[b] for b in MARK.encode())
 
-    def unit(self, marks: int, word: str) -> array:
-        """A mark inside the text itself is written as bytes, so that decoding gives it back."""
-        out = array("i")
+    def pieces(self, marks: int, word: str) -> Iterator[str | None]:
+        """The parts of a unit; None is a mark inside the text itself, which is written as bytes so that decoding gives it back."""
         for k, piece in enumerate(word.split(MARK)):
             if k:
-                out.extend(self.escape)
+                yield None
             whole = MARK * marks + piece if not k else piece
             if whole:
-                for part in self.vocabulary.parts(whole):
-                    out.extend(self.parts[part])
-        return out
+                yield from self.vocabulary.parts(whole)
 
-    def part(self, part: str) -> tuple[int, ...]:
+    def word(self, word: str) -> tuple[array, int]:
+        return self.unit(1, word)
+
+    def unit(self, marks: int, word: str) -> tuple[array, int]:
+        out, met = array("i"), 0
+        for part in self.pieces(marks, word):
+            if part is None:
+                out.extend(self.escape)
+            else:
+                ids, n = self.parts[part]
+                out.extend(ids)
+                met += n
+        return out, met
+
+    def part(self, part: str, skips: Iterator[int] = repeat(NEVER)) -> tuple[tuple[int, ...], int]:
+        symbols, met, _ = self.vocabulary.merge(part, skips)
+        return self.ids(symbols), met
+
+    def ids(self, symbols: list[str | None]) -> tuple[int, ...]:
         v = self.vocabulary
         out: list[int] = []
-        for s in v.merge(part, self.skip, zlib.crc32(part.encode()))[0]:
+        for s in symbols:
             if s is None:
                 continue
             i = v.ids.get(s)
@@ -232,17 +271,55 @@ class Encoder:
                 out.extend(v.byte_id[b] for b in s.encode())
         return tuple(out)
 
-    def encode(self, text: str) -> array:
+    def first_skips(self, own: int, n: int) -> list[int]:
+        """For each of a text's n units, the first candidate to be skipped."""
+        if not self.log_kept:
+            return [NEVER] * n
+        drawn = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(GOLDEN) + np.uint64(own))
+        gaps = np.log(((drawn >> np.uint64(11)).astype(float) + 1) * 2.0**-53) / self.log_kept
+        return np.minimum(gaps, NEVER).astype(np.int64).tolist()
+
+    def skips(self, own: int, place: int, first: int) -> Iterator[int]:
+        """The candidates of a unit that are skipped, in order."""
+        h, at = mixed(own + (place + 1) * GOLDEN & MASK), first
+        while True:
+            yield at
+            h = mixed(h + GOLDEN & MASK)
+            at += 1 + int(min(log(((h >> 11) + 1) * 2.0**-53) / self.log_kept, NEVER))
+
+    def vary(self, marks: int, word: str, skips: Iterator[int]) -> array:
+        """A unit's ids with candidates skipped; they are counted on from part to part."""
+        out, base, skip = array("i"), 0, next(skips)
+        for part in self.pieces(marks, word):
+            if part is None:
+                out.extend(self.escape)
+                continue
+            if len(part) > KEPT_PART:
+                local = (x - base for x in chain((skip,), skips))
+                symbols, met, left = self.vocabulary.merge(part, local)
+                out.extend(self.ids(symbols))
+                base, skip = base + met, base + left
+                continue
+            ids, met = self.parts[part]
+            gone: tuple[int, ...] = ()
+            while skip - base < met:
+                gone = (*gone, skip - base)
+                ids, met = self.varied[part, gone]
+                skip = next(skips)
+            out.extend(ids)
+            base += met
+        return out
+
+    def encode(self, text: str, key: int = 0) -> array:
         out = array("i")
         if not text:
             return out
+        own = mixed(key * GOLDEN + self.seed & MASK)
         words = text.split(" ")
-        if "" not in words:
-            for ids in map(self.words.__getitem__, words):
-                out.extend(ids)
-            return out
-        for m, w in units(text):
-            out.extend(self.words[w] if m == 1 and w else self.unit(m, w))
+        found = zip(repeat(1), words) if "" not in words else units(text)
+        for place, ((m, w), first) in enumerate(zip(found, self.first_skips(own, len(words)), strict=False)):
+            ids, met = self.words[w] if m == 1 and w else self.unit(m, w)
+            out.extend(ids if first >= met else self.vary(m, w, self.skips(own, place, first)))
         return out
 
 
@@ -277,16 +354,15 @@ def token_counts(text: Column, model: bytes) -> Column:
     return count_tokens(text)
 
 
-def encode(text: Column, key: Column, model: bytes, dropout: float = 0.1, seed: int = 0, variants: int = 2) -> Column:
+def encode(text: Column, key: Column, model: bytes, dropout: float = 0.1, seed: int = 0) -> Column:
     """Struct of token ids and ``lossless`` (they decode to the text exactly).
 
-    The merges to skip follow from the seed, the unit and one of ``variants``
-    keys; ``key`` (a long, such as the document's id) picks the latter,
-    so a unit is cut in several ways over the corpus and another seed gives
-    others.  The same seed and key always give the same ids.
+    Each candidate merge of each unit is skipped or not by a hash of the seed,
+    ``key`` (a long, such as the document's id), the unit's place in the text and the
+    candidate's place in the unit.  The same seed and key always give the same ids.
     """
 
-    def encode_batch(encoders: list[Encoder], texts: pa.Array, keys: pa.Array) -> pa.Array:
+    def encode_batch(encoder: Encoder, texts: pa.Array, keys: pa.Array) -> pa.Array:
         v = vocabulary_of(model)
         flat, at, ok = array("i"), [0], []
         for t, k in zip(texts, keys, strict=True):
@@ -295,8 +371,7 @@ def encode(text: Column, key: Column, model: bytes, dropout: float = 0.1, seed:
                 at.append(len(flat))
                 ok.append(None)
                 continue
-            own = (k.as_py() or 0) * 0x9E3779B97F4A7C15 & MASK
-            ids = encoders[(own >> 40) % variants].encode(s)
+            ids = encoder.encode(s, k.as_py() or 0)
             ok.append(decode_ids(v, ids) == s)
             flat.extend(ids)
             at.append(len(flat))
@@ -306,9 +381,9 @@ def encode(text: Column, key: Column, model: bytes, dropout: float = 0.1, seed:
 
     @F.arrow_udf("struct<ids:array<int>,lossless:boolean>")
     def encode_pieces(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        encoders = [Encoder(vocabulary_of(model), dropout, seed * variants + i) for i in range(variants)]  # their tables go with the task
+        encoder = Encoder(vocabulary_of(model), dropout, seed)  # its tables go with the task
         for texts, keys in batches:
-            yield encode_batch(encoders, texts, keys)
+            yield encode_batch(encoder, texts, keys)
 
     return encode_pieces(text, key)
 

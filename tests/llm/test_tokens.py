@@ -30,6 +30,46 @@ def test_encoding_is_lossless(text):
         assert list(bpe.Encoder(VOCABULARY).encode(text)) == LIBRARY.encode(text)
 
 
+def test_dropout_varies_with_document_and_place():
+    encoder = bpe.Encoder(VOCABULARY, 0.1, 0)
+    docs = [encoder.encode(" ".join(["international"] * 300), key) for key in range(40)]
+    assert len({tuple(x) for x in docs}) == 40
+    assert docs[3] == bpe.Encoder(VOCABULARY, 0.1, 0).encode(" ".join(["international"] * 300), 3)
+    for ids in docs:
+        cut, whole = [], LIBRARY.encode("international")
+        for i in ids:
+            if VOCABULARY.bytes[i].startswith(b" "):
+                cut.append([])
+            cut[-1].append(i)
+        assert len(cut) == 300 and len({tuple(x) for x in cut}) > 5 and 0 < cut.count(whole) < 300
+
+
+def test_candidates_are_skipped_at_the_rate():
+    encoder = bpe.Encoder(VOCABULARY, 0.1, 5)
+    own = bpe.mixed(17)
+    hits = [0] * 6
+    for place, first in enumerate(encoder.first_skips(own, 20_000)):
+        for x in encoder.skips(own, place, first):
+            if x > 5:
+                break
+            hits[x] += 1
+    assert all(abs(x / 20_000 - 0.1) < 0.01 for x in hits)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="abeinorst ▁\né", max_size=90), st.integers(-5, 2**62))
+def test_tables_give_what_merging_anew_gives(text, key):
+    for dropout in (0.1, 0.5):
+        kept = bpe.Encoder(VOCABULARY, dropout, 3)
+        fresh = bpe.Encoder(VOCABULARY, dropout, 3)
+        bound, bpe.KEPT_PART = bpe.KEPT_PART, 0
+        try:
+            want = fresh.encode(text, key)
+        finally:
+            bpe.KEPT_PART = bound
+        assert kept.encode(text, key) == want == kept.encode(text, key)
+
+
 def test_full_tables_change_nothing():
     table = bpe.Table(lambda k: k * 2, 3)
     assert [table[k] for k in (1, 2, 3, 4, 1, 5, 6, 7, 1)] == [2, 4, 6, 8, 2, 10, 12, 14, 2]

@@ -1,7 +1,7 @@
 """Language identification by rank-order profiles.
 
-Each language's profile is the list of its ``PROFILE`` most frequent letter n-grams
-(one to three, words bounded by a blank).  A document's own most frequent n-grams are
+Each language's profile is the list of its ``PROFILE`` most frequent n-grams
+of bytes (one to three, words bounded by a blank; ``codes`` has the folding).  A document's own most frequent n-grams are
 compared with every profile by out-of-place distance: the sum of rank
 differences, with the greatest for n-grams that a profile lacks.
 

@@ -4,8 +4,8 @@ Method.  Each document is the set of its distinct 5-word shingles (64-bit
 hashes).  128 minima are taken; 25 bands of 5 full minima give candidate
 buckets, and the low 4 bits of all 128 are packed into 512 bits.  Candidates are kept
 when the collision-corrected similarity, from bit counts of the packed
-signatures, is at least ``screen``; those are confirmed on the full sets.
-A pair at similarity 0.85 shares a band with probability 1 - 4e-7.
+signatures, passes a screen below the threshold; those are confirmed on the full sets.
+A pair at similarity 0.85 shares a band with probability 1 - 4e-7, at 0.80 with 1 - 5e-5.
 
 Scale.  Documents with equal sets form one class before anything else (one
 partial aggregation), so exact copies never meet in pairs.  In a bucket each
@@ -40,8 +40,8 @@ LANES = HASHES * BITS // 64
 #: Most rows, and about most shingles, of a block of a bucket.
 BLOCK = 512
 BLOCK_SHINGLES = 400_000
-#: Estimates have a standard deviation of 0.034 at 0.85.
-SCREEN = 0.70
+#: The screen is so many standard deviations of the estimate below the threshold (0.631 for 0.80, 0.699 for 0.85).
+DEVIATIONS = 4.6
 
 _A, _B = _table(101, HASHES) | np.uint64(1), _table(202, HASHES)
 _BAND = _table(303, BANDS * ROWS) | np.uint64(1)
@@ -122,6 +122,13 @@ def estimate(x: str, y: str) -> Column:
     return F.expr(f"({agree} - {c}D) / {1 - c}D")
 
 
+def screen(percent: int) -> float:
+    """The estimate from which a pair is confirmed on its full sets: well below the threshold, by the estimate's deviation there."""
+    c = 2.0**-BITS
+    agree = c + (1 - c) * percent / 100
+    return percent / 100 - DEVIATIONS * (agree * (1 - agree) / HASHES) ** 0.5 / (1 - c)
+
+
 def linked(left: pa.Array, right: pa.Array, percent: int) -> pa.Array:
     """Whether 100 * intersection >= percent * union, on the full sets of two text columns."""
     out = []
@@ -153,7 +160,7 @@ def confirm(scratch: Scratch, pairs: DataFrame, classes: DataFrame, texts: DataF
     held = scratch.save(held)
     x = held.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("_text").alias("ta"))
     y = held.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("_text").alias("tb"))
-    near = pairs.join(y, "b").join(x, "a").where((estimate("sa", "sb") >= SCREEN) & (F.lit(100) * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+    near = pairs.join(y, "b").join(x, "a").where((estimate("sa", "sb") >= screen(percent)) & (F.lit(100) * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
     links = scratch.save(near.select("a", "b", full_sets_linked(F.col("ta"), F.col("tb")).alias("ok")).where("ok").select("a", "b"))
     scratch.drop(held)
     return links

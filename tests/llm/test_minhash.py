@@ -91,3 +91,25 @@ def test_deduplicate_keeps_one_of_each_group(spark, scratch):
     assert out.columns == df.columns
     assert sorted(r.doc_id for r in out.collect()) == sorted(i for i, c in comp.items() if i == c)
     assert M.deduplicate(empty(spark), scratch).count() == 0
+
+
+def test_equals_all_pairs_at_080(spark, scratch):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(30):  # a run of c changed words takes c + 4 of 196 shingles: similarities from 0.79 to 0.85
+        w = words(rnd, 200, 10**6)
+        c = 12 + i % 8
+        rows += [(2 * i, " ".join(w), "en", "s", 0), (2 * i + 1, " ".join(w[:60] + [f"x{i}_{k}" for k in range(c)] + w[60 + c :]), "en", "s", 0)]
+    comp, _ = components(rows, 80)
+    assert len(set(components(rows)[0].values())) > len(set(comp.values())) < len(rows)
+    df = frame(spark, rows)
+    assert {r.doc_id: r.component_id for r in M.near_duplicates(df, scratch, percent=80).collect()} == comp
+    kept = sorted(i for i, c in comp.items() if i == c)
+    assert sorted(r.doc_id for r in M.deduplicate(df, scratch, percent=80).collect()) == kept
+
+
+def test_screen_is_four_deviations_below_the_threshold():
+    for percent in (50, 80, 85, 95):
+        agree = 1 / 16 + 15 / 16 * percent / 100
+        assert percent / 100 - M.screen(percent) >= 4 * (agree * (1 - agree) / 128) ** 0.5 * 16 / 15
+    assert M.screen(85) <= 0.70

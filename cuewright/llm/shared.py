@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -25,23 +26,38 @@ def ship(spark: SparkSession) -> None:
     context._cuewright_shipped = True
 
 
+#: Texts go to Python in Arrow batches of about so many bytes, so a worker's memory does not grow with the rows of a partition.
+BATCH_BYTES = "2m"
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 class Scratch:
     """Written tables in the folder of ``spark.checkpoint.dir``; they cut lineage and survive lost executors.
 
-    Where that setting is missing (local tests) a folder of this process is
-    made and set as the checkpoint folder.
+    Where that setting is missing on a local master (tests) a folder of this process is
+    made and set as the checkpoint folder; on a cluster that is an error, since executors
+    would write to disks of their own.  Arrow batches are bounded by bytes unless the session says otherwise.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         ship(spark)
+        if spark.conf.get(BATCH_SETTING, None) is None:
+            spark.conf.set(BATCH_SETTING, BATCH_BYTES)
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="cuewright-")
             spark.sparkContext.setCheckpointDir(base)
         self.base = f"{base}/cuewright-{uuid.uuid4().hex}"
         self.count = 0
 
+    def owns(self, df: DataFrame) -> DataFrame:
+        """The same table, which knows whose tables it reads."""
+        df._scratch = self
+        return df
+
     def save(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.base}/{self.count}"
@@ -55,12 +71,18 @@ class Scratch:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(saved._scratch_path)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
+    def _delete(self, at: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later result reads."""
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(t._scratch_path)
+
+    def clear(self) -> None:
+        """Delete all of them, once what was made from them is written elsewhere."""
+        self._delete(self.base)
 
 
 #: A side of a join is broadcast when its files are no larger; beyond that the join is shuffled.

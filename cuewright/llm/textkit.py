@@ -8,6 +8,8 @@ per word.  A row is never split over two blocks and never shortened.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,14 +54,38 @@ STARTS_CHAR[0x80:0xC0] = False
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64, for i up to n."""
-    if len(_powers[0]) <= n:
-        size = 1 << int(n).bit_length()
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            out = np.full(size, base, dtype=U64)
-            out[0] = 1
-            _powers[k] = np.multiply.accumulate(out)
-    return _powers[0], _powers[1]
+    """BASE**i and BASE**-i modulo 2**64, for i up to n; tables for texts longer than some blocks are not kept."""
+    if len(_powers[0]) > n:
+        return _powers[0], _powers[1]
+    made = []
+    for base in (_BASE, _BASE_INVERSE):
+        out = np.full(1 << int(n).bit_length(), base, dtype=U64)
+        out[0] = 1
+        made.append(np.multiply.accumulate(out, out=out))
+    if n <= 2 * BLOCK_BYTES:
+        _powers[:] = made
+    return made[0], made[1]
+
+
+def release() -> None:
+    """Give freed memory back to the system, so that idle workers are small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def each_batch(f, batches):
+    """``f`` of each of a task's batches; memory goes back at the end."""
+    try:
+        for b in batches:
+            yield f(b)
+    finally:
+        release()
+
+
+def each_pair(f, batches):
+    """The same for a function of several columns."""
+    return each_batch(lambda b: f(*b), batches)
 
 
 class Block:

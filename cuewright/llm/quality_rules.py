@@ -3,42 +3,48 @@
 Two rules are fixed (too few words; too many words in repeated 3-word
 windows).  All other cutoffs come from the data: each metric of the documents
 that pass the fixed rules goes into a mergeable quantile sketch for each
-(language, source), and a document is rejected when it lies far outside its
-group's quartiles.
+(language, source), and a document is rejected when it lies beyond a fence
+built from its group's median and outer decile.
 
 The sketch is a histogram over integers that keeps the six leading bits of a
 value (relative error under 1/32).  Sketches merge by adding counts, so they
 are built with partial aggregation, a hot source costs no more than any other,
-and the result does not depend on how rows were split over tasks.  A group of
-under ``min_group`` documents uses the merged sketch of its language, or of
-everything.
+and the result does not depend on how rows were split over tasks.  A group's fence is
+the mean of its own, weighted by its documents, and its language's, weighted as ``PRIOR``
+documents; the language's is blended with that of everything in the same way.  So
+small groups lean on larger ones smoothly, with no size at which a rule changes.
 
 Defined results: a null text has no words; null language or source is a group
 of its own; a text of no words fails the fixed rules; repeated rows are judged
-alike; an empty table gives an empty result; other columns are not touched.
+alike; a text of any length is measured whole; an empty table gives an empty result;
+other columns are not touched.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .textkit import NOT_NEWLINE, NOT_SPACE, STARTS_CHAR, blocks, distinct, grams, mix
+from .textkit import NOT_NEWLINE, NOT_SPACE, STARTS_CHAR, blocks, distinct, each_batch, grams, mix
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MIN_GROUP = 200
-#: How many times the distance from median to quartile a value may lie away from the median.
-SPREAD = 4
-#: Metric: (numerator, denominator, scale, slack beyond the spread, has a lower cutoff too)
+#: A group's fence counts as its documents, the larger group's as so many.
+PRIOR = 200.0
+#: A fence lies beyond the median by this share of it, besides the spread.
+MARGIN = 0.1
+#: Metric: (numerator, denominator, scale, how many times the distance from the median to the outer decile, has a lower fence too).
+#: Numerators leave out what says nothing yet: three symbols, three repeated lines, two repeated windows.
 METRICS = {
-    "word_len": ("word_chars", "n_words", 10, 10, True),
-    "symbols": ("n_symbols", "n_words", 1000, 100, False),
-    "dup_lines": ("n_dup_lines - 1", "n_lines", 1000, 200, False),  # one repeated line says nothing yet
-    "repeats": ("n_repeat_words", "n_words", 1000, 150, False),
+    "word_len": ("word_chars", "n_words", 10, 4, True),
+    "symbols": ("n_symbols - 3", "n_words", 1000, 4, False),
+    "dup_lines": ("n_dup_lines - 3", "n_lines", 1000, 4, False),
+    "repeats": ("n_repeat_words - 6", "n_words", 1000, 20, False),
 }
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 BASE_TYPE = "struct<" + ",".join(f"{c}:bigint" for c in BASE) + ">"
@@ -87,8 +93,8 @@ def metrics(text: Column) -> Column:
     """A struct of the base metrics of a text column."""
 
     @F.arrow_udf(BASE_TYPE)
-    def base_metrics(texts: pa.Array) -> pa.Array:
-        return measure(texts)
+    def base_metrics(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return each_batch(measure, batches)
 
     # Not to be worked out again for each condition that reads it.
     return base_metrics.asNondeterministic()(text)
@@ -118,26 +124,23 @@ def sketches(measured: DataFrame, lang: str, source: str, m: str) -> DataFrame:
 
 
 def cutoffs(sketch: DataFrame) -> DataFrame:
-    """(lang, source, low_<metric>, high_<metric>) from sketches, merged upwards for small groups."""
+    """(lang, source, low_<metric>, high_<metric>) from sketches, each group's blended with those of larger ones."""
+    none = F.lit(None).cast("string")
+    langs = sketch.groupBy("lang", "metric", "v").agg(F.sum("c").alias("c")).select(F.lit(1).alias("level"), "lang", none.alias("source"), "metric", "v", "c")
+    every = langs.groupBy("metric", "v").agg(F.sum("c").alias("c")).select(F.lit(2).alias("level"), none.alias("lang"), none.alias("source"), "metric", "v", "c")
     own = sketch.select(F.lit(0).alias("level"), "lang", "source", "metric", "v", "c")
-    langs = sketch.groupBy("lang", "metric", "v").agg(F.sum("c").alias("c")).select(F.lit(1).alias("level"), "lang", F.lit(None).cast("string").alias("source"), "metric", "v", "c")
-    every = sketch.groupBy("metric", "v").agg(F.sum("c").alias("c")).select(F.lit(2).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "metric", "v", "c")
     group = Window.partitionBy("level", "lang", "source", "metric")
     cum = own.unionByName(langs).unionByName(every).withColumn("cum", F.sum("c").over(group.orderBy("v"))).withColumn("n", F.sum("c").over(group))
     quantile = lambda p: F.min(F.when(F.col("cum") * 100 >= F.col("n") * p, F.col("v")))
-    q = cum.groupBy("level", "lang", "source", "metric").agg(F.first("n").alias("n"), quantile(25).alias("q25"), quantile(50).alias("q50"), quantile(75).alias("q75"))
-    slack = F.create_map(*[F.lit(x) for k, v in METRICS.items() for x in (k, v[3])])[F.col("metric")]
-    q = q.select("level", "lang", "source", "metric", "n", (F.col("q50") - SPREAD * (F.col("q50") - F.col("q25")) - slack).alias("low"), (F.col("q50") + SPREAD * (F.col("q75") - F.col("q50")) + slack).alias("high"))
-    wide = q.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("metric") == k, F.col(c))).alias(f"{c}_{k}") for k in METRICS for c in ("low", "high")])
-    cols = [f"{c}_{k}" for k in METRICS for c in ("low", "high")]
-    # Each group asks for its own sketch, its language's and everything's, and takes the first that is large enough.
-    none = F.lit(None).cast("string")
-    asks = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), a.alias("l"), b.alias("s")) for i, (a, b) in enumerate(((F.col("lang"), F.col("source")), (F.col("lang"), none), (none, none)))])).alias("ask")
-    asked = wide.where("level = 0").select("lang", "source", asks).select("lang", "source", "ask.*").alias("a")
-    w = wide.alias("w")
-    met = asked.join(w, F.expr("a.level = w.level and a.l <=> w.lang and a.s <=> w.source")).where((F.col("w.n") >= MIN_GROUP) | (F.col("a.level") == 2))
-    best = met.groupBy("a.lang", "a.source").agg(F.min_by(F.struct(*[F.col(f"w.{c}") for c in cols]), F.col("a.level")).alias("cut"))
-    return best.select("lang", "source", "cut.*")
+    q = cum.groupBy("level", "lang", "source", "metric").agg(F.first("n").cast("double").alias("n"), quantile(10).alias("q10"), quantile(50).alias("q50"), quantile(90).alias("q90"))
+    times = F.create_map(*[F.lit(x) for k, v in METRICS.items() for x in (k, float(v[3]))])[F.col("metric")]
+    margin = F.lit(MARGIN) * F.col("q50")
+    q = q.select("level", "lang", "source", "metric", "n", (F.col("q50") - times * (F.col("q50") - F.col("q10")) - margin).alias("low"), (F.col("q50") + times * (F.col("q90") - F.col("q50")) + margin).alias("high"))
+    g, l, e = q.where("level = 0").alias("g"), q.where("level = 1").alias("l"), q.where("level = 2").alias("e")
+    met = g.join(l, F.expr("l.lang <=> g.lang and l.metric = g.metric")).join(e, F.expr("e.metric = g.metric"))
+    blend = lambda c: F.expr(f"(g.n * g.{c} + {PRIOR}D * ((l.n * l.{c} + {PRIOR}D * e.{c}) / (l.n + {PRIOR}D))) / (g.n + {PRIOR}D)")
+    met = met.select("g.lang", "g.source", "g.metric", blend("low").alias("low"), blend("high").alias("high"))
+    return met.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == k, F.col(c))).alias(f"{c}_{k}") for k in METRICS for c in ("low", "high")])
 
 
 def verdict(m: str) -> Column:
@@ -165,9 +168,12 @@ def score(docs: DataFrame, scratch, *, id: str = "doc_id", text: str = "text", l
 
 
 def keep(docs: DataFrame, scratch, *, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The documents that stay, with their columns; texts are measured twice rather than shuffled."""
+    """The documents that stay, with their columns; texts are measured twice rather than shuffled.
+
+    The sketches, which are small, are saved, so the cutoffs measure no text again.
+    """
     rows = docs.select(F.col(lang).alias("lang"), F.col(source).alias("source"), metrics(F.col(text)).alias("m"))
-    cuts = scratch.save(cutoffs(sketches(rows, "lang", "source", "m")))
+    cuts = scratch.save(cutoffs(scratch.save(sketches(rows, "lang", "source", "m"))))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), metrics(F.col(text)).alias("_m"))
     held = held.withColumn("_lang", F.col(f"_row.`{lang}`")).withColumn("_source", F.col(f"_row.`{source}`"))
     return with_cutoffs(held, cuts, "_lang", "_source").where(verdict("_m")).select("_row.*")
@@ -182,19 +188,21 @@ rep as (select rid, count(distinct p) as n from (select rid, unnest(range(i, i +
 ln as (select rid, count(*) as n, count(distinct l) as u from (select rid, unnest(string_split(t, chr(10))) as l from d) where regexp_matches(l, '[^\x20\x09-\x0D]') group by rid),
 m as (select d.rid, doc_id, lang, source, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
   coalesce(ln.n - u, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, coalesce(ln.n, 0) as n_lines from d join w using (rid) left join rep using (rid) left join ln using (rid)),
-b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, word_chars * 10 // greatest(n_words, 1) as word_len, n_symbols * 1000 // greatest(n_words, 1) as symbols,
-  greatest(n_dup_lines - 1, 0) * 1000 // greatest(n_lines, 1) as dup_lines, n_repeat_words * 1000 // greatest(n_words, 1) as repeats from m),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, word_chars * 10 // greatest(n_words, 1) as word_len, greatest(n_symbols - 3, 0) * 1000 // greatest(n_words, 1) as symbols,
+  greatest(n_dup_lines - 3, 0) * 1000 // greatest(n_lines, 1) as dup_lines, greatest(n_repeat_words - 6, 0) * 1000 // greatest(n_words, 1) as repeats from m),
 x as (select lang, source, metric, cast(v as bigint) as v from (unpivot (select lang, source, word_len, symbols, dup_lines, repeats from b where not base_failed) on word_len, symbols, dup_lines, repeats into name metric value v)),
 h as (select lang, source, metric, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) as v, count(*) as c from x group by all),
 lv as (select 0 as level, lang, source, metric, v, c from h union all select 1, lang, null, metric, v, sum(c) from h group by lang, metric, v union all select 2, null, null, metric, v, sum(c) from h group by metric, v),
 cu as (select *, sum(c) over (partition by level, lang, source, metric order by v) as cum, sum(c) over (partition by level, lang, source, metric) as n from lv),
-q as (select level, lang, source, metric, max(n) as n, min(v) filter (cum * 100 >= n * 25) as q25, min(v) filter (cum * 100 >= n * 50) as q50, min(v) filter (cum * 100 >= n * 75) as q75 from cu group by 1, 2, 3, 4),
-s as (select *, case metric when 'word_len' then 10 when 'symbols' then 100 when 'dup_lines' then 200 else 150 end as slack from q),
-z as (select level, lang, source, max(n) as n, max(q50 - 4 * (q50 - q25) - slack) filter (metric = 'word_len') as low_word_len, max(q50 + 4 * (q75 - q50) + slack) filter (metric = 'word_len') as high_word_len,
-  max(q50 + 4 * (q75 - q50) + slack) filter (metric = 'symbols') as high_symbols, max(q50 + 4 * (q75 - q50) + slack) filter (metric = 'dup_lines') as high_dup_lines, max(q50 + 4 * (q75 - q50) + slack) filter (metric = 'repeats') as high_repeats from s group by 1, 2, 3),
-k as (select distinct lang, source from h),
-a as (select k.lang, k.source, z.* exclude (lang, source), row_number() over (partition by k.lang, k.source order by level) as o from k join z on (level = 0 and z.lang is not distinct from k.lang and z.source is not distinct from k.source and n >= 200) or (level = 1 and z.lang is not distinct from k.lang and n >= 200) or level = 2)
+q as (select level, lang, source, metric, cast(max(n) as double) as n, cast(min(v) filter (cum * 100 >= n * 10) as double) as q10, cast(min(v) filter (cum * 100 >= n * 50) as double) as q50, cast(min(v) filter (cum * 100 >= n * 90) as double) as q90 from cu group by 1, 2, 3, 4),
+f as (select *, cast(case metric when 'repeats' then 20 else 4 end as double) as times, cast(0.1 as double) * q50 as margin from q),
+h2 as (select level, lang, source, metric, n, q50 - times * (q50 - q10) - margin as low, q50 + times * (q90 - q50) + margin as high from f),
+bl as (select g.lang, g.source, g.metric, (g.n * g.low + 200::double * ((l.n * l.low + 200::double * e.low) / (l.n + 200::double))) / (g.n + 200::double) as low,
+  (g.n * g.high + 200::double * ((l.n * l.high + 200::double * e.high) / (l.n + 200::double))) / (g.n + 200::double) as high
+  from h2 g join h2 l on g.level = 0 and l.level = 1 and l.lang is not distinct from g.lang and l.metric = g.metric join h2 e on e.level = 2 and e.metric = g.metric),
+a as (select lang, source, max(low) filter (metric = 'word_len') as low_word_len, max(high) filter (metric = 'word_len') as high_word_len, max(high) filter (metric = 'symbols') as high_symbols,
+  max(high) filter (metric = 'dup_lines') as high_dup_lines, max(high) filter (metric = 'repeats') as high_repeats from bl group by 1, 2)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   coalesce(not base_failed and word_len <= high_word_len and word_len >= low_word_len and symbols <= high_symbols and dup_lines <= high_dup_lines and repeats <= high_repeats, false) as kept
-from b left join a on o = 1 and a.lang is not distinct from b.lang and a.source is not distinct from b.source
+from b left join a on a.lang is not distinct from b.lang and a.source is not distinct from b.source
 """

@@ -3,29 +3,38 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Scratch
+from .textkit import each_batch
+
 
 def held_out(id: str, folds: int, fold: int) -> Column:
     """Whether crc32 of the id, as text, leaves ``fold`` modulo ``folds``; a null id is never held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(id).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, *, id: str, text: str, label: str, folds: int, fold: int) -> DataFrame:
-    """(id, text, label) of the labelled rows that may be learned from."""
-    y = labels.select(F.col(id).alias("_id"), F.col(label).alias("label")).where("label in (0, 1)").groupBy("_id").agg(F.max("label").cast("int").alias("label"))
-    x = docs.where(~held_out(id, folds, fold)).select(F.col(id).alias("_id"), F.col(text).alias("text")).where("text is not null")
-    return x.join(y, "_id").select(F.col("_id").alias("id"), "text", "label")
-
+def labelled_sample(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, id: str, text: str, label: str, folds: int, fold: int, each: int) -> tuple[DataFrame, tuple[int, int]]:
+    """At most ``each`` labelled rows (id, text, label) of each label that may be learned from, and how many there are of each label.
 
-def bounded_sample(rows: DataFrame, each: int) -> DataFrame:
-    """At most ``each`` rows of each label, those of least hash of the id; a row here is an id and a label."""
-    parts = [rows.where(F.col("label") == k).orderBy(F.xxhash64("id", F.lit(17)), "id").limit(each) for k in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    Ids and labels alone are joined and counted, over all rows; the sample is the ids of least hash.
+    It is bounded by ``each``, so it is broadcast and its texts are read where they lie.  Of texts under
+    one id the one of least hash is taken; labels that disagree count as 1.
+    """
+    y = labels.select(F.col(id).cast("long").alias("id"), F.col(label).alias("label")).where("label in (0, 1)").where(~held_out("id", folds, fold)).groupBy("id").agg(F.max("label").cast("int").alias("label"))
+    have = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("long").alias("id"))
+    known = scratch.save(y.join(have, "id", "left_semi"))
+    counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    parts = [known.where(F.col("label") == k).orderBy(F.xxhash64("id", F.lit(17)), "id").limit(each) for k in (0, 1)]
+    chosen = scratch.save(parts[0].unionByName(parts[1]))
+    x = docs.where(F.col(text).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = x.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
+    return scratch.save(rows), (counts.get(0, 0), counts.get(1, 0))
 
 
 class Rows:
@@ -80,55 +89,45 @@ def dual_coordinate_descent(x: Rows, y: np.ndarray, scale: np.ndarray, cost: flo
 
 
 def calibrate(margin: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
-    """Slope and offset of a logistic curve over margins (Platt, with smoothed targets), by Newton steps."""
+    """Slope and offset of a logistic curve over margins (Platt, with smoothed targets), by Newton steps that are halved until the loss falls."""
     n1, n0 = float((y > 0).sum()), float((y <= 0).sum())
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 1.0, math.log((n1 + 1) / (n0 + 1))
+
+    def loss(at: np.ndarray) -> float:
+        z = at[0] * margin + at[1]
+        return float((np.logaddexp(0, z) - t * z).sum())
+
+    at = np.array([1.0, math.log((n1 + 1) / (n0 + 1))])
+    now = loss(at)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(at[0] * margin + at[1], -30, 30)))
         g = np.array([((p - t) * margin).sum(), (p - t).sum()])
         q = p * (1 - p) + 1e-9
         h = np.array([[(q * margin * margin).sum() + 1e-6, (q * margin).sum()], [(q * margin).sum(), q.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
+        while np.abs(step).max() >= 1e-8 and (later := loss(at - step)) >= now:
+            step = step / 2
         if np.abs(step).max() < 1e-8:
             break
-    return float(max(a, 1e-6)), float(b)
-
+        at, now = at - step, later
+    return float(max(at[0], 1e-6)), float(at[1])
 
-def indicator_counts(rows: DataFrame, features, size: int) -> np.ndarray:
-    """How many rows of each label have each feature, over all rows: an array of shape (2, size).
 
-    Each task counts what it has read; the sums are of fixed size (two for each feature).
-    """
-
-    def count(batches):
-        total = np.zeros((2, size), dtype=np.int64)
-        rows = np.zeros(2, dtype=np.int64)
-        for b in batches:
-            y = b.column(1).to_numpy(zero_copy_only=False)
-            for i, idx in enumerate(features(b.column(0))):
-                total[y[i], idx] += 1
-                rows[y[i]] += 1
-        k, f = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(k * size + f, -1 - np.arange(2))), pa.array(np.append(total[k, f], rows))], names=["f", "c"])
-
-    got = rows.select("text", "label").mapInArrow(count, "f bigint, c bigint").groupBy("f").agg(F.sum("c").alias("c")).toArrow()
-    f, c = got.column("f").to_numpy(), got.column("c").to_numpy()
-    out = np.zeros(2 * size, dtype=np.int64)
-    out[f[f >= 0]] = c[f >= 0]
-    n = np.zeros(2, dtype=np.int64)
-    n[-1 - f[f < 0]] = c[f < 0]
-    return np.column_stack([out.reshape(2, size), n])
+def indicator_counts(x: Rows, y: np.ndarray, size: int) -> np.ndarray:
+    """How many of the sample's rows of each label have each feature: an array of shape (2, size)."""
+    label = np.repeat(y, np.diff(x.at)).astype(np.int64)
+    return np.bincount(label * size + x.index, minlength=2 * size).reshape(2, size)
 
 
 def sample_rows(sample: DataFrame, features) -> tuple[Rows, np.ndarray, np.ndarray]:
     """The sample's features, labels and ids, made on the executors."""
 
     def make(batches):
-        for b in batches:
+        def rows(b):
             lists = [x.astype(np.int32) for x in features(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lists, type=pa.list_(pa.int32()))], names=["id", "label", "f"])
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lists, type=pa.list_(pa.int32()))], names=["id", "label", "f"])
+
+        yield from each_batch(rows, batches)
 
     got = sample.select("id", "text", "label").mapInArrow(make, "id bigint, label int, f array<int>").toArrow().combine_chunks()
     got = got.take(pa.array(np.argsort(got.column("id").to_numpy(), kind="stable"))).combine_chunks()
@@ -144,9 +143,12 @@ def score_column(text: Column, features, w: np.ndarray, bias: float, slope: floa
     """The calibrated score of each whole text; a null text counts as empty."""
     small = w.astype(np.float32)
 
-    @F.arrow_udf("double")
-    def linear_score(texts: pa.Array) -> pa.Array:
+    def scores(texts: pa.Array) -> pa.Array:
         m = np.array([float(small[idx].sum()) for idx in features(texts)], dtype=np.float64) + bias
         return pa.array(1 / (1 + np.exp(-np.clip(slope * m + offset, -30, 30))))
 
+    @F.arrow_udf("double")
+    def linear_score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return each_batch(scores, batches)
+
     return linear_score(text)

@@ -5,15 +5,16 @@ ratio of their class counts, and a linear hinge-loss model over them is fitted
 by dual coordinate descent; margins become probabilities by a logistic curve
 fitted on rows that the weights have not seen.
 
-Class counts come from all labelled rows outside the held-out fold.  The fit
-takes at most ``SAMPLE`` rows of each class (those of least hash of
-the id), a bound that does not grow with the data.  Scoring reads each whole
-text where it lies; there is no shuffle.
+Class counts and the fit take at most ``SAMPLE`` labelled rows of each class outside
+the held-out fold (those of least hash of the id), a bound that does not grow with the data;
+the share of the classes comes from all labelled rows.  Labels and ids alone are joined, and
+the sample's ids are broadcast, so no text is shuffled but the sample's.  Scoring reads each
+whole text where it lies.
 
 Defined results: a null text is scored as an empty one; rows without a label
 or with a null id are scored all the same; if only one class, or none, is
-labelled, all scores are its share (0.5 for none); repeated rows are alike;
-an empty table gives an empty result; other columns are not read.
+labelled, all scores are its share (0.5 for none); repeated rows are alike, and of texts under one
+labelled id one is learned from; a text of any length is read whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from .shared import Scratch
 from .textkit import NOT_SPACE, blocks, mix
 
 SIZE = 1 << 16
-SAMPLE = 1500
+#: The bound on labelled rows of each class that a fit takes.
+SAMPLE = 3000
 FOLDS, FOLD = 5, 0
 THRESHOLD = 0.3
 
@@ -73,17 +75,14 @@ def features(texts: pa.Array):
 
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, id: str, text: str, label: str):
     """(weights, bias, slope, offset)."""
-    rows = linear.labelled(docs, labels, id=id, text=text, label=label, folds=FOLDS, fold=FOLD)
-    rows = scratch.save(rows)
-    counts = linear.indicator_counts(rows, features, SIZE)
-    n = counts[:, -1]
+    sample, n = linear.labelled_sample(docs, labels, scratch, id=id, text=text, label=label, folds=FOLDS, fold=FOLD, each=SAMPLE)
     if min(n) == 0:
         share = 0.5 if sum(n) == 0 else (0.99 if n[1] else 0.01)
         return np.zeros(SIZE), 0.0, 1.0, float(np.log(share / (1 - share)))
-    p = (counts[:, :-1] + 1.0) / (n[:, None] + 2.0)
-    ratio = np.log(p[1] / p[0])
-    sample = rows.join(linear.bounded_sample(rows.select("id", "label"), SAMPLE).select("id"), "id", "left_semi")
     x, y01, _ = linear.sample_rows(sample, features)
+    seen = np.array([(y01 == k).sum() for k in (0, 1)])
+    p = (linear.indicator_counts(x, y01, SIZE) + 1.0) / (seen[:, None] + 2.0)
+    ratio = np.log(p[1] / p[0])
     y = np.where(y01 == 1, 1.0, -1.0)
     # The last index is a constant, the bias.
     scale = np.append(ratio, 1.0)

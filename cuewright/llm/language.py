@@ -1,7 +1,8 @@
 """Language identification by rank-order profiles.
 
 Each language's profile is the list of its ``PROFILE`` most frequent n-grams
-of bytes (one to three, words bounded by a blank; ``codes`` has the folding).  A document's own most frequent n-grams are
+of characters (one to three code points, lower-cased by Unicode, words bounded by a blank; whatever is no
+letter is a blank).  A document's own most frequent n-grams are
 compared with every profile by out-of-place distance: the sum of rank
 differences, with the greatest for n-grams that a profile lacks.
 
@@ -12,12 +13,15 @@ Prediction reads each whole text where it lies; there is no shuffle.
 
 Defined results: ``und`` with score 0 for a null text, a text without letters, or
 when nothing was learned; null languages are not learned; ties go to the
-first name; repeated rows are alike; an empty table gives an empty result;
-other columns are not read.
+first name; repeated rows are alike; a text of any length is read whole; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,73 +30,83 @@ from pyspark.sql.window import Window
 
 from .linear import held_out
 from .shared import Scratch
-from .textkit import blocks
+from .textkit import each_batch, release
 
 PROFILE = 400
 FOLDS, FOLD = 4, 2
 UNKNOWN = "und"
 
-#: A symbol for each byte: 0 for what is no letter, lower-cased ASCII letters, then bytes beyond ASCII.
-_SYMBOL = np.zeros(256, dtype=np.int32)
-_SYMBOL[97:123] = _SYMBOL[65:91] = np.arange(1, 27)
-_SYMBOL[0x80:0xC0] = np.arange(27, 91)
-_SYMBOL[0xC0:] = 91 + np.arange(64) % 37
+#: The blank, beyond all code points, so that an n-gram of any length is a number by itself: 21 bits for each character.
+BLANK = 0x110000
+#: Codes that may wait to be counted.
+WAITING = 1 << 22
+
+
+def symbols(text: str) -> np.ndarray:
+    """The lower-cased code points of a text, with single blanks around words."""
+    own = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    seen, at = np.unique(own, return_inverse=True)
+    letter = np.array([unicodedata.category(chr(c))[0] in "LM" for c in seen.tolist()], dtype=bool)
+    own = np.where(letter[at], own, BLANK) if len(own) else own
+    own = np.concatenate([[BLANK], own, [BLANK]])
+    keep = np.ones(len(own), dtype=bool)
+    keep[1:] = (own[1:] != BLANK) | (own[:-1] != BLANK)
+    return own[keep]
 
 
 def codes(texts: pa.Array):
     """For each text, the codes of all its n-grams; blanks come singly and only at an end."""
-    for b in blocks(texts):
-        sym = _SYMBOL[b.data]
-        for i in range(b.rows):
-            own = sym[b.offsets[i] : b.offsets[i + 1]]
-            own = np.concatenate([[0], own, [0]]).astype(np.int32)
-            keep = np.ones(len(own), dtype=bool)
-            keep[1:] = (own[1:] != 0) | (own[:-1] != 0)
-            own = own[keep]
-            if len(own) < 3:
-                yield np.zeros(0, np.int32)
-                continue
-            a, c = own[:-1], own[1:]
-            three = own[1:-1] != 0
-            yield np.concatenate([own[own != 0], (1 << 21) | (a << 7) | c, ((2 << 21) | (own[:-2] << 14) | (own[1:-1] << 7) | own[2:])[three]])
+    for t in texts:
+        own = symbols(t.as_py() or "")
+        if len(own) < 3:
+            yield np.zeros(0, np.int64)
+            continue
+        two = own[:-1] << 21 | own[1:]
+        three = own[1:-1] != BLANK
+        yield np.concatenate([own[own != BLANK], two, (two[:-1] << 21 | own[2:])[three]])
 
 
 def ranked(code: np.ndarray, most: int = PROFILE) -> np.ndarray:
     """The most frequent codes in order; ties by code."""
     u, n = np.unique(code, return_counts=True)
-    key = (-n.astype(np.int64) << 24) | u
-    if len(key) > most:
-        key = np.partition(key, most)[:most]
-    return (np.sort(key) & 0xFFFFFF).astype(np.int32)
+    if len(u) > most:
+        least = np.partition(n, len(n) - most)[len(n) - most]
+        u, n = u[n >= least], n[n >= least]
+    return u[np.argsort(-n, kind="stable")][:most]
 
 
 def profiles(docs: DataFrame, *, id: str, text: str, lang: str) -> dict[str, np.ndarray]:
     def count(batches):
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         waiting: dict[str, list[np.ndarray]] = {}
+        size = 0
 
-        def merge(k):
-            u, n = np.unique(np.concatenate(waiting.pop(k)), return_counts=True)
-            if k in sums:
-                both, at = np.unique(np.concatenate([sums[k][0], u]), return_inverse=True)
-                u, n = both, np.bincount(at, weights=np.concatenate([sums[k][1], n])).astype(np.int64)
-            sums[k] = u, n
+        def merge():
+            for k, lists in waiting.items():
+                u, n = np.unique(np.concatenate(lists), return_counts=True)
+                if k in sums:
+                    both, at = np.unique(np.concatenate([sums[k][0], u]), return_inverse=True)
+                    u, n = both, np.bincount(at, weights=np.concatenate([sums[k][1], n])).astype(np.int64)
+                sums[k] = u, n
+            waiting.clear()
 
         for b in batches:
             for k, c in zip(b.column(1).to_pylist(), codes(b.column(0)), strict=True):
                 waiting.setdefault(k, []).append(c)
-                if len(waiting[k]) >= 256 or len(c) > 1 << 20:
-                    merge(k)
-        for k in list(waiting):
-            merge(k)
+                size += len(c)
+                if size > WAITING:
+                    merge()
+                    size = 0
+        merge()
         for k, (u, n) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(u), type=pa.string()), pa.array(u.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(u), type=pa.string()), pa.array(u), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
+        release()
 
     learn = docs.where(~held_out(id, FOLDS, FOLD)).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = learn.mapInArrow(count, "lang string, code int, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = learn.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     got = counts.withColumn("rank", rank).where(F.col("rank") <= PROFILE).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "code"))).alias("p"))
-    return {r.lang: np.array([x.code for x in r.p], dtype=np.int32) for r in sorted(got.collect(), key=lambda r: r.lang)}
+    return {r.lang: np.array([x.code for x in r.p], dtype=np.int64) for r in sorted(got.collect(), key=lambda r: r.lang)}
 
 
 def distances(own: np.ndarray, sides) -> list[int]:
@@ -113,8 +127,7 @@ def identify(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: str
         order = np.argsort(p)
         sides.append((p[order], order))
 
-    @F.arrow_udf("struct<lang:string,score:double>")
-    def nearest_profile(texts: pa.Array) -> pa.Array:
+    def nearest(texts: pa.Array) -> pa.Array:
         best, score = [], []
         for t, c in zip(texts.is_valid().to_pylist(), codes(texts), strict=True):
             own = ranked(c) if t and names else c[:0]
@@ -128,6 +141,10 @@ def identify(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: str
             score.append(1.0 - d[k] / (PROFILE * len(own)))
         return pa.StructArray.from_arrays([pa.array(best, type=pa.string()), pa.array(score, type=pa.float64())], names=["lang", "score"])
 
+    @F.arrow_udf("struct<lang:string,score:double>")
+    def nearest_profile(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return each_batch(nearest, batches)
+
     letters = F.when(F.col(text).rlike(r"\p{L}"), F.col(text))
     out = docs.select(F.col(id).alias(id), held_out(id, FOLDS, FOLD).alias("held_out"), nearest_profile(letters).alias("x"))
     return out.select(id, "held_out", F.col("x.lang").alias("lang_pred"), F.col("x.score").alias("score"))

@@ -7,7 +7,7 @@ of copies above that size are packed whole, and all others fall by the
 hash of their text into ``shards * CELLS`` cells.  Pieces of split groups, large groups and cells are the
 units that are packed, largest first, each into the shard where the dot product of its
 (bytes, tokens, rows), as shares of the total, with the shard's residual
-capacity is highest among the shards that still have room for its bytes.  The number of units
+capacity is highest among the shards that still have room for it, in all three if any has.  The number of units
 is bounded by the parameters, not by the data, so the packing runs on
 the driver; everything else is aggregation with partial sums.
 
@@ -40,7 +40,8 @@ TOLERANCE = 1 / 8
 def pack(items: np.ndarray, shards: int) -> np.ndarray:
     """A shard for each item (rows of bytes, tokens, rows), largest first by bytes.
 
-    A shard has room while its bytes stay under the even share; when no shard has room, the emptiest by bytes is taken.
+    Shards with room for an item in all three dimensions come first, then those with room for its
+    bytes; when no shard has room, the emptiest by bytes is taken.  A shard has room up to its even share.
     """
     total = items.sum(axis=0).astype(float)
     share = items / np.where(total > 0, total, 1)
@@ -48,7 +49,8 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
     out = np.zeros(len(items), dtype=np.int32)
     order = np.lexsort((np.arange(len(items)), -share[:, 2], -share[:, 1], -share[:, 0]))
     for i in order:
-        fits = left[:, 0] >= share[i, 0]
+        fits = (left >= share[i]).all(axis=1)
+        fits = fits if fits.any() else left[:, 0] >= share[i, 0]
         k = int(np.argmax(np.where(fits, left @ share[i], -np.inf))) if fits.any() else int(np.argmax(left[:, 0]))
         out[i] = k
         left[k] -= share[i]

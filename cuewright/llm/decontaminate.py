@@ -3,20 +3,21 @@
 Method.  A text's words give 6-word hashes; of each 8 consecutive ones (the
 13 words of a window) the least is kept, so any shared run of 13 words shares
 a kept fingerprint.  Documents' fingerprints are joined with the benchmark's,
-and each hit is extended word by word to the left and right; it counts when
-13 words agree.  An item of fewer than 13 words is one window and is
-found by the hash of one of its words (a window of one-word hashes as long as
+and each hit is extended to the left and right: every window of 13 words that has the hit
+inside is compared with the benchmark's windows by its words.  An item of fewer than 13 words is one
+window and is found by the hash of one of its words (a window of one-word hashes as long as
 the item), then compared whole.  Hashes only choose candidates; words decide.
 
 Scale.  One pass computes fingerprints; the benchmark's side is small and
 Spark broadcasts it when its measured size allows, else both sides are
 shuffled by hash.  Results are kept by content, so copies of a document are one key, and a
 hot fingerprint or copy group is only ever joined, with skew splitting, or
-aggregated with partial sums.  Texts of documents with candidates are found
-again by a join that broadcasts the candidates only below a checked size.
+aggregated with partial sums.  A place in a text meets each distinct window once, however often the
+benchmark repeats it, so runs of one word cost no more than other texts.  Texts of documents with
+candidates are found again by a join that broadcasts the candidates only below a checked size.
 
 Defined results: null or wordless texts have no words and no hits; repeated
-rows and null ids are judged by their text; a null item id marks words but is
+rows and null ids are judged by their text; a text of any length is read whole; a null item id marks words but is
 not listed; an empty benchmark or documents table gives no hits or no rows;
 other columns are not read.
 """
@@ -65,21 +66,29 @@ def word_hashes(w: Column) -> Column:
     return F.transform(w, lambda x: F.xxhash64(F.lit(1), x))
 
 
-def benchmark_prints(bench: DataFrame, item: str, text: str) -> DataFrame:
-    """(h, item, w, q): a kept hash, the item's words, and the hash's position in them from 0."""
-    items = bench.select(F.col(item).alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0).distinct()
-    g = F.when(F.size("w") >= WINDOW, bind(gram_hashes(F.col("w")), lambda g: F.struct(g.alias("g"), winnowed(g).alias("s")))).otherwise(
-        bind(word_hashes(F.col("w")), lambda g: F.struct(g.alias("g"), F.array(F.array_min(g)).alias("s")))
-    )
-    at = items.select("item", "w", g.alias("p")).select("item", "w", "p.s", F.posexplode("p.g").alias("q", "h"))
-    return at.where(F.array_contains("s", F.col("h"))).select("h", "item", "w", "q")
+def benchmark_items(bench: DataFrame, item: str, text: str) -> DataFrame:
+    """(item, w): the distinct items that have words."""
+    return bench.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0).distinct()
 
 
-def run_length(a: Column, b: Column) -> Column:
-    """How many elements agree from the start."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    at = F.array_position(same, False)
-    return F.when(at == 0, F.size(same)).otherwise((at - 1).cast("int"))
+def benchmark_prints(items: DataFrame) -> DataFrame:
+    """(h, q, n): the kept hashes of items of a window or more (q and n null); for shorter ones, of n words, the least hash of a word and its first place q from 0."""
+    long = items.where(F.size("w") >= WINDOW).select(F.explode(bind(gram_hashes(F.col("w")), winnowed)).alias("h"), F.lit(None).cast("int").alias("q"), F.lit(None).cast("int").alias("n"))
+    least = bind(word_hashes(F.col("w")), lambda g: F.struct(F.array_min(g).alias("h"), (F.array_position(g, F.array_min(g)) - 1).cast("int").alias("q")))
+    short = items.where(F.size("w") < WINDOW).select(least.alias("x"), F.size("w").alias("n")).select("x.h", "x.q", "n")
+    return long.unionByName(short).distinct()
+
+
+def benchmark_windows(items: DataFrame) -> DataFrame:
+    """(window, item): the words of each window of each item, in one string."""
+    n = F.least(F.size("w"), F.lit(WINDOW))
+    at = F.sequence(F.lit(1), F.size("w") - n + 1)
+    return items.select("item", F.explode(F.transform(at, lambda i: joined(F.slice("w", i, n)))).alias("window")).distinct()
+
+
+def joined(w: Column) -> Column:
+    """Words as one string; words have no blanks, so equal strings are equal words."""
+    return F.array_join(w, " ")
 
 
 def content(text: Column) -> list[Column]:
@@ -88,8 +97,9 @@ def content(text: Column) -> list[Column]:
 
 def contents(docs: DataFrame, bench: DataFrame, scratch: Scratch, *, id: str, text: str, item: str, bench_text: str) -> tuple[DataFrame, DataFrame]:
     """(base: id, k1, k2, n_words) and, for texts with hits, (k1, k2, n_hit, items); k1 and k2 stand for the text."""
-    prints = scratch.save(benchmark_prints(bench, item, bench_text))
-    short = not prints.where(F.size("w") < WINDOW).isEmpty()
+    items = scratch.save(benchmark_items(bench, item, bench_text))
+    prints, windows = scratch.save(benchmark_prints(items)), scratch.save(benchmark_windows(items))
+    short = not prints.where("n is not null").isEmpty()
 
     def kept(w: Column) -> Column:
         s = bind(gram_hashes(w), winnowed)
@@ -98,30 +108,28 @@ def contents(docs: DataFrame, bench: DataFrame, scratch: Scratch, *, id: str, te
     base = docs.select(F.col(id).alias("id"), *content(F.col(text)), bind(words(F.col(text)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), kept(w).alias("prints"))).alias("x"))
     base = scratch.save(base.select("id", "k1", "k2", "x.n_words", "x.prints"))
     hashes = scratch.save(prints.select("h").distinct())
-    hits = base.select("k1", "k2", F.explode("prints").alias("h")).join(hashes, "h", "left_semi").distinct()
+    hits = base.select("k1", "k2", F.explode("prints").alias("h")).join(small_side(scratch, hashes), "h", "left_semi").distinct()
     hits = scratch.save(hits.groupBy("k1", "k2").agg(F.collect_set("h").alias("hs")))
 
-    found = docs.select(*content(F.col(text)), F.col(text).alias("t")).join(small_side(scratch, hits), ["k1", "k2"])
-    found = found.select("k1", "k2", bind(words(F.col("t")), lambda w: F.struct(w.alias("w"), gram_hashes(w).alias("g"), (word_hashes(w) if short else F.array().cast("array<bigint>")).alias("g1"))).alias("x"), "hs")
-
-    def places(g: str) -> DataFrame:
-        at = found.select("k1", "k2", "x.w", F.col(f"x.{g}").alias("g"), "hs").select("k1", "k2", "w", F.expr("filter(transform(g, (h, i) -> named_struct('h', h, 'p', i)), y -> array_contains(hs, y.h))").alias("y"))
-        near = F.expr(f"transform(y, y -> named_struct('h', y.h, 'p', y.p, 'before', reverse(slice(w, greatest(y.p - {WINDOW - 2}, 1), y.p - greatest(y.p - {WINDOW - 1}, 0))), 'after', slice(w, y.p + 1, {WINDOW + GRAM - 1})))")
-        return at.select("k1", "k2", F.explode(near).alias("y")).select("k1", "k2", "y.*")
-
-    at = places("g").unionByName(places("g1")) if short else places("g")
-    met = at.join(prints, "h")
-    size = F.size("w")
-    left = F.when(F.col("q") > 0, run_length(F.col("before"), F.expr(f"reverse(slice(w, greatest(q - {WINDOW - 2}, 1), q - greatest(q - {WINDOW - 1}, 0)))"))).otherwise(F.lit(0))
-    right = run_length(F.col("after"), F.expr(f"slice(w, q + 1, {WINDOW + GRAM - 1})"))
-    met = met.select("k1", "k2", "item", "p", "q", size.alias("n"), left.alias("l"), right.alias("r"))
-    whole = (F.col("n") < WINDOW) & (F.col("l") >= F.col("q")) & (F.col("r") >= F.col("n") - F.col("q"))
-    long = (F.col("n") >= WINDOW) & (F.col("l") + F.col("r") >= WINDOW)
-    span = F.when(whole, F.struct((F.col("p") - F.col("q")).alias("s"), (F.col("p") - F.col("q") + F.col("n")).alias("e"))).when(long, F.struct((F.col("p") - F.col("l")).alias("s"), (F.col("p") + F.col("r")).alias("e")))
-    spans = met.select("k1", "k2", F.col("item").cast("string").alias("item"), span.alias("span")).where("span is not null")
+    found = docs.select(*content(F.col(text)), F.col(text).alias("t")).join(small_side(scratch, hits), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    found = found.select("k1", "k2", words(F.col("t")).alias("w"), "hs")
+    # Places of hits, from 0, and the starts of the windows that have them inside.
+    hit_at = lambda g: F.filter(F.transform(g, lambda h, i: F.when(F.array_contains("hs", h), i)), lambda i: i.isNotNull())
+    inside = F.array_distinct(F.flatten(F.transform(hit_at(gram_hashes(F.col("w"))), lambda p: F.sequence(F.greatest(p - (PER_WINDOW - 1), F.lit(0)), F.least(p, F.size("w") - WINDOW)))))
+    at = found.select("k1", "k2", F.explode(F.transform(inside, lambda s: F.struct(s.alias("s"), F.lit(WINDOW).alias("n"), joined(F.slice("w", s + 1, WINDOW)).alias("window")))).alias("y"))
+    if short:
+        one = F.filter(F.transform(word_hashes(F.col("w")), lambda h, i: F.struct(h.alias("h"), i.alias("p"))), lambda y: F.array_contains("hs", y["h"]))
+        near = F.transform(one, lambda y: F.struct(y["h"].alias("h"), y["p"].alias("p"), F.greatest(y["p"] - (WINDOW - 2), F.lit(0)).alias("from"), F.slice("w", F.greatest(y["p"] - (WINDOW - 3), F.lit(1)), 2 * WINDOW - 3).alias("near")))
+        places = found.select("k1", "k2", F.explode(near).alias("y")).select("k1", "k2", "y.*").join(prints.where("n is not null"), "h")
+        start = F.col("p") - F.col("q")
+        whole = places.where(start >= 0).select("k1", "k2", F.struct(start.alias("s"), F.col("n"), joined(F.slice("near", F.greatest(start - F.col("from") + 1, F.lit(1)), F.col("n"))).alias("window")).alias("y"))
+        at = at.unionByName(whole)
+    known = scratch.save(windows.select("window").distinct())
+    at = scratch.save(at.select("k1", "k2", "y.*").join(small_side(scratch, known), "window", "left_semi"))
     covered = F.expr("aggregate(array_sort(spans), named_struct('n', 0L, 'e', 0), (a, x) -> named_struct('n', a.n + greatest(x.e - greatest(x.s, a.e), 0), 'e', greatest(a.e, x.e))).n")
-    verdicts = spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"), F.collect_set("item").alias("items")).select("k1", "k2", covered.alias("n_hit"), F.array_sort("items").alias("items"))
-    return base.select("id", "k1", "k2", "n_words"), scratch.save(verdicts)
+    spans = at.groupBy("k1", "k2").agg(F.collect_set(F.struct(F.col("s"), (F.col("s") + F.col("n")).alias("e"))).alias("spans")).select("k1", "k2", covered.alias("n_hit"))
+    listed = at.select("k1", "k2", "window").distinct().join(small_side(scratch, windows), "window").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return base.select("id", "k1", "k2", "n_words"), scratch.save(spans.join(listed, ["k1", "k2"]))
 
 
 def contamination(docs: DataFrame, bench: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: str = "text", item: str = "item_id", bench_text: str = "text") -> DataFrame:

@@ -4,30 +4,34 @@ Method.  Suffixes are kept only at content-selected positions: where the hash
 of 5 words is the least of 26 consecutive ones (a minimiser).  Any two equal runs of 50
 words have the same first minimiser within their first 26 words, so they share a
 kept suffix with at least 25 words to its right.  Kept suffixes are sorted over the
-cluster by the hash of their first 25 words, and each is compared with its
-neighbours; those that differ from both are let go.  The rest are extended to the left and right: each
-50-word window that begins up to 25 words left of such a suffix is hashed,
-equal windows of different documents are a match, and the union
-of matching windows is the maximal repeated span.  The result is the same as
-if all windows of all documents had been compared.
+cluster word by word: a suffix's key is the row of codes of its first 25 words (two bytes of each
+word's hash), so suffixes stand in the order of their words' codes.  Each is compared with its
+neighbours: the length of their common prefix, in words, is counted, and those that share fewer than 25 words with
+both are let go.  The others form intervals of equal prefixes, which are extended to the left and right: in
+an interval each 50-word window that begins up to 25 words left of the suffix is compared over all members by a
+hash of all its words, whatever variants of the passage disagree further out; equal windows of
+different documents are a match, and the union of matching windows is the maximal repeated span.  The
+result is the same as if all windows of all documents had been compared.
 
 A word is removable when a window over it occurs in an earlier document
 (least id first), so the earliest occurrence of a passage always stays.
 
-Scale.  Texts are hashed where they lie.  Hot passages are never gathered: sorting ranges over
+Scale.  Texts are hashed where they lie, and kept suffixes are written once.  Hot passages are never gathered: sorting ranges over
 (prefix, document, place), so equal suffixes spread over tasks (the first and last of a task stay
-in, whatever they equal), and a window's first document is a partial minimum.  Copies of a
-whole text are found first and enter with one member.
+in, whatever they equal); a window's first document is a partial minimum, and windows are joined with the saved
+minima, so that a hot one can be split.  Copies of a whole text are found first and enter with one member.
 
 Defined results: null, empty and short texts (under 50 words) have no
 repeated passages; rows with a null id are left alone; of unequal texts
 under one id only one takes part; rows that repeat a document are one
 document; a repeat inside one document does not count; ties fall to the
-smaller id; an empty table gives an empty result; other columns are not touched.
+smaller id; a text of any length is read whole; an empty table gives an empty result; other columns are not touched.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,7 +40,7 @@ from pyspark.sql.window import Window
 
 from .decontaminate import content
 from .shared import Scratch, small_side
-from .textkit import NOT_SPACE, blocks, grams
+from .textkit import NOT_SPACE, blocks, each_batch, each_pair, grams, release
 
 MIN_WORDS = 50
 SAMPLE = 26
@@ -60,48 +64,61 @@ def minimisers(h: np.ndarray) -> np.ndarray:
     return at[at + PREFIX <= n]
 
 
+def suffix_keys(h: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The codes of the first PREFIX words from each place, two bytes a word, as binary that sorts word by word."""
+    code = (h >> np.uint64(48)).astype(">u2")
+    rows = np.lib.stride_tricks.sliding_window_view(code, PREFIX)[at] if len(at) else np.zeros((0, PREFIX), dtype=">u2")
+    flat = np.ascontiguousarray(rows).view(np.uint8).ravel()
+    return pa.Array.from_buffers(pa.binary(2 * PREFIX), len(at), [None, pa.py_buffer(flat)]).cast(pa.binary())
+
+
 def anchors(batches):
     """(key, doc, pos) of each kept suffix."""
-    for batch in batches:
+
+    def of(batch):
         keys, docs, places = [], [], []
         ids, row = batch.column(0).to_numpy(zero_copy_only=False), 0
         for b in blocks(batch.column(1)):
             s, e, first = b.spans(NOT_SPACE)
             h = b.hashes(s, e)
-            k, k_first = grams(h, first, PREFIX, short=False)
             for i in range(b.rows):
-                at = minimisers(h[first[i] : first[i + 1]])
+                own = h[first[i] : first[i + 1]]
+                at = minimisers(own)
                 if len(at):
-                    keys.append(k[k_first[i] + at])
+                    keys.append(suffix_keys(own, at))
                     docs.append(np.full(len(at), ids[row + i], dtype=np.int64))
                     places.append(at.astype(np.int32))
             row += b.rows
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(places))], names=["key", "doc", "pos"])
+        none = np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(keys) if keys else pa.array([], pa.binary()), pa.array(np.concatenate([none, *docs])), pa.array(np.concatenate([none.astype(np.int32), *places]))], names=["key", "doc", "pos"])
+
+    return each_batch(of, batches)
+
+
+def common_words(key: pa.Array) -> np.ndarray:
+    """How many words each suffix has in common with the next, up to PREFIX."""
+    rows = np.frombuffer(key.cast(pa.binary(2 * PREFIX)).buffers()[1], dtype=np.uint16, count=len(key) * PREFIX).reshape(-1, PREFIX)
+    differ = rows[1:] != rows[:-1]
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), PREFIX)
 
 
 def neighbours(batches):
-    """Of suffixes in order, (doc, pos) of those whose prefix equals that of the one before or after, and of a task's first and last."""
-    held = None
-    before = None
+    """Of suffixes in order, (doc, pos) of those that share PREFIX words with the one before or after, and of a task's first and last."""
+    held, before = None, True  # a task's first suffix stays in
     for batch in batches:
         if not batch.num_rows:
             continue
         # One row is held back until its right neighbour is known.
         rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        key = rows.column(0).to_numpy()
-        same = key[1:] == key[:-1]
-        keep = np.zeros(len(key), dtype=bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        keep[0] |= before is None or before == key[0]
+        near = common_words(pa.concat_arrays([rows.column(0)])) >= PREFIX
+        keep = np.concatenate([[before], near]) | np.concatenate([near, [False]])
         idx = np.flatnonzero(keep[:-1])
         if len(idx):
             yield pa.RecordBatch.from_arrays([rows.column(c).take(pa.array(idx)) for c in (1, 2)], names=["doc", "pos"])
-        held = rows.slice(len(key) - 1, 1)
-        before = key[-2] if len(key) > 1 else before
+        held, before = rows.slice(rows.num_rows - 1, 1), bool(keep[-1])
     if held is not None:
         yield pa.RecordBatch.from_arrays([held.column(1), held.column(2)], names=["doc", "pos"])
+    release()
 
 
 def inside_runs(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -117,7 +134,8 @@ def windows(batches):
 
     Equal windows at places in a row (a run of one word) are one row, from pos to last.
     """
-    for batch in batches:
+
+    def of(batch):
         ids, chosen, row = batch.column(0).to_pylist(), batch.column(2), 0
         out: list[list[np.ndarray]] = [[], [], [], []]
         for b in blocks(batch.column(1)):
@@ -138,8 +156,11 @@ def windows(batches):
                 out[2].append(starts[begin].astype(np.int32))
                 out[3].append(starts[np.append(begin[1:], len(own))[: len(begin)] - 1].astype(np.int32))
             row += b.rows
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0]).view(np.int64)), pa.array(np.concatenate(out[1])), pa.array(np.concatenate(out[2])), pa.array(np.concatenate(out[3]))], names=["window", "doc", "pos", "last"])
+        kinds = (np.uint64, np.int64, np.int32, np.int32)
+        cols = [np.concatenate([np.zeros(0, k), *x]) for k, x in zip(kinds, out, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), *map(pa.array, cols[1:])], names=["window", "doc", "pos", "last"])
+
+    return each_batch(of, batches)
 
 
 def spans_of(met: DataFrame, first: Column, which: str) -> DataFrame:
@@ -167,13 +188,16 @@ def repeats(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: str
     one = one.select("doc", "t")
 
     order = ["key", "doc", "pos"]
-    at = one.mapInArrow(anchors, "key bigint, doc bigint, pos int").repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = scratch.save(one.mapInArrow(anchors, "key binary, doc bigint, pos int"))
+    at = kept.repartitionByRange(*order).sortWithinPartitions(*order)
     chosen = scratch.save(at.mapInArrow(neighbours, "doc bigint, pos int").groupBy("doc").agg(F.collect_list("pos").alias("at")))
+    scratch.drop(kept)
     found = scratch.save(one.join(small_side(scratch, chosen), "doc").select("doc", "t", "at").mapInArrow(windows, "window bigint, doc bigint, pos int, last int"))
-    shared = found.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("other")).where("first <> other").select("window", "first")
-    met = found.join(shared, "window").select("doc", F.col("pos").alias("s"), F.col("last").alias("t"), F.when(F.col("first") < F.col("doc"), F.col("first")).alias("first"))
+    shared = scratch.save(found.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("other")).where("first <> other").select("window", "first"))
+    met = found.join(small_side(scratch, shared), "window").select("doc", F.col("pos").alias("s"), F.col("last").alias("t"), F.when(F.col("first") < F.col("doc"), F.col("first")).alias("first"))
     # Windows of one document in a row make one span.
     met = scratch.save(met)
+    scratch.drop(found, shared)
     out = spans_of(met, F.lit(None).cast("long"), "true").unionByName(spans_of(met, F.min("first"), "first is not null"))
 
     # Copies of whole texts, if these are long enough.
@@ -218,8 +242,8 @@ def deduplicate(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text:
     """The documents without words that an earlier document has in a repeated passage; a document left with no word goes."""
 
     @F.arrow_udf("string")
-    def without_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return cut(texts, spans)
+    def without_spans(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return each_pair(cut, batches)
 
     found = scratch.save(spans_by_document(docs, scratch, id=id, text=text).where("size(removed) > 0").select(F.col(id).alias("_doc"), F.col("removed").alias("_removed")))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id).cast("long").alias("_doc"), F.col(text).alias("_t"))

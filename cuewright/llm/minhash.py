@@ -19,19 +19,21 @@ been compared.
 
 Defined results: null or wordless text has an empty set and is linked with
 nothing; a null id is linked with nothing and kept; rows that repeat an id are
-one document for linking; ties fall to the smaller id; an empty table gives an
+one document, linked by each of its texts; a text of any length is read whole; ties fall to the smaller id; an empty table gives an
 empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch, components, small_side
-from .textkit import NOT_SPACE, _table, blocks, distinct, grams, mix, signed
+from .textkit import NOT_SPACE, _table, blocks, distinct, each_batch, each_pair, grams, mix
 
 WORDS = 5
 BANDS, ROWS = 25, 5
@@ -104,8 +106,8 @@ def sketch(text: Column) -> Column:
     """Set size, set identity, band keys and packed b-bit signature of a text column."""
 
     @F.arrow_udf(SKETCH_TYPE)
-    def minhash_sketch(texts: pa.Array) -> pa.Array:
-        return sketch_batch(texts)
+    def minhash_sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return each_batch(sketch_batch, batches)
 
     return minhash_sketch(text)
 
@@ -148,20 +150,20 @@ def _pairs(left: pa.Array, right: pa.Array):
 
 
 def confirm(scratch: Scratch, pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b), those that pass the screen and whose full sets are similar enough."""
+    """Of candidate pairs (a, b), those of which a text of each passes the screen and the full sets are similar enough."""
 
     @F.arrow_udf("boolean")
-    def full_sets_linked(left: pa.Array, right: pa.Array) -> pa.Array:
-        return linked(left, right, percent)
+    def full_sets_linked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return each_pair(lambda left, right: linked(left, right, percent), batches)
 
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    ids = scratch.save(ids.join(classes.select("rep", "n", "sig"), "rep"))
-    held = texts.join(small_side(scratch, ids), F.col("rep") == F.col("_id")).select("rep", "n", "sig", "_text")
+    ids = scratch.save(ids.join(classes.select("rep", "tk", "n", "sig"), "rep"))
+    held = texts.join(small_side(scratch, ids), (F.col("rep") == F.col("_id")) & (F.col("tk") == F.col("_tk"))).select("rep", "n", "sig", "_text")
     held = scratch.save(held)
     x = held.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("_text").alias("ta"))
     y = held.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("_text").alias("tb"))
     near = pairs.join(y, "b").join(x, "a").where((estimate("sa", "sb") >= screen(percent)) & (F.lit(100) * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    links = scratch.save(near.select("a", "b", full_sets_linked(F.col("ta"), F.col("tb")).alias("ok")).where("ok").select("a", "b"))
+    links = scratch.save(near.select("a", "b", full_sets_linked(F.col("ta"), F.col("tb")).alias("ok")).where("ok").select("a", "b").distinct())
     scratch.drop(held)
     return links
 
@@ -219,61 +221,77 @@ def block_links(rep: np.ndarray, comp: np.ndarray, second: np.ndarray, sets: lis
 
 
 def connect(scratch: Scratch, rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components for buckets (key, rep, n, comp, m, all) whose members are in several.
+    """Links (a, b) between components for buckets (key, rep, tk, n, comp, m, all) whose members are in several.
 
     A bucket is cut into blocks of bounded rows and shingles, and each
     two blocks (and each with itself) are one group; only links between components leave it.
     """
 
-    @F.arrow_udf("binary")
-    def shingle_set(column: pa.Array) -> pa.Array:
+    def sets_of(column: pa.Array) -> pa.Array:
         out = []
         for u, first in shingles(column):
             out += [u[first[i] : first[i + 1]].tobytes() for i in range(len(first) - 1)]
         return pa.array(out, type=pa.binary())
 
+    @F.arrow_udf("binary")
+    def shingle_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return each_batch(sets_of, batches)
+
     def links(table: pa.Table) -> pa.Table:
-        rep, at = np.unique(table.column("rep").to_numpy(), return_index=True)
+        # A block meets itself once: each text of it once.
+        both = np.stack([table.column(c).to_numpy() for c in ("rep", "tk")], axis=1)
+        at = np.unique(both, axis=0, return_index=True)[1]
+        rep = both[at, 0]
         blk, bi = table.column("blk").to_numpy()[at], table.column("bi").to_numpy()[at]
         column = table.column("s")
         sets = [np.frombuffer(column[int(i)].as_py(), dtype=np.uint64) for i in at]
         a, b = block_links(rep, table.column("comp").to_numpy()[at], blk != bi, sets, percent)
         return pa.table({"a": a, "b": b})
 
-    ids = rows.select("rep").distinct()
-    sets = scratch.save(texts.join(small_side(scratch, scratch.save(ids)), F.col("_id") == F.col("rep")).select("rep", shingle_set("_text").alias("s")))
+    ids = scratch.save(rows.select("rep", "tk").distinct())
+    sets = scratch.save(texts.join(small_side(scratch, ids), (F.col("_id") == F.col("rep")) & (F.col("_tk") == F.col("tk"))).select("rep", "tk", shingle_set("_text").alias("s")))
     blocks_of = F.greatest(F.expr(f"(m + {BLOCK} - 1) div {BLOCK}"), F.expr(f"(all + {BLOCK_SHINGLES} - 1) div {BLOCK_SHINGLES}")).cast("int")
-    cut = rows.select("key", "rep", "comp", blocks_of.alias("nb")).withColumn("blk", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("nb")).cast("int"))
-    meet = cut.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).select("key", "rep", "comp", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
-    met = meet.join(sets, "rep").groupBy("key", "bi", "bj").applyInArrow(links, "a bigint, b bigint")
+    cut = rows.select("key", "rep", "tk", "comp", blocks_of.alias("nb")).withColumn("blk", F.pmod(F.xxhash64("rep", "tk", F.lit(5)), F.col("nb")).cast("int"))
+    meet = cut.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).select("key", "rep", "tk", "comp", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
+    met = meet.join(sets, ["rep", "tk"]).groupBy("key", "bi", "bj").applyInArrow(links, "a bigint, b bigint")
     return scratch.save(met.distinct())
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """For each document: id, n_shingles, component_id, kept, n_copies (documents with the same set)."""
-    base = scratch.save(docs.select(F.col(id).cast("long").alias("id"), sketch(F.col(text)).alias("k")).select("id", "k.*"))
+    base = scratch.save(docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("tk"), sketch(F.col(text)).alias("k")).select("id", "tk", "k.*"))
     able = base.where("n > 0 and id is not null")
-    same = able.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    same = scratch.save(same)
-    # A class's minima are those of any member; its smallest document stands for it.
-    reps = same.select(F.col("rep").alias("id"), "h1", "h2", "n")
-    classes = scratch.save(able.join(reps, ["id", "h1", "h2", "n"], "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "n", "bands", "sig"))
-    # A repeated id with unequal texts could stand for two classes; the first of them speaks for both.
-    texts = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text")).where("_id is not null")
-
-    rows = classes.select("rep", F.posexplode("bands").alias("i", "key"))
+    same = able.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "tk")).alias("first"), F.count("*").alias("copies"))
+    same = scratch.save(same.select("h1", "h2", "n", F.col("first.id").alias("rep"), F.col("first.tk").alias("tk"), "copies"))
+    # A class's minima are those of any member; a text of its smallest document stands for it.  A document
+    # with unequal texts may stand for several classes, all of which are one in the graph.
+    reps = same.select(F.col("rep").alias("id"), "tk", "h1", "h2", "n")
+    classes = scratch.save(able.join(reps, ["id", "tk", "h1", "h2", "n"], "left_semi").dropDuplicates(["id", "tk"]).select(F.col("id").alias("rep"), "tk", "n", "bands", "sig"))
+    texts = docs.select(F.col(id).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_tk"), F.col(text).alias("_text")).where("_id is not null")
+    again = scratch.save(able.groupBy("id", "tk").count().where("count > 1").select(F.col("id").alias("_id"), F.col("tk").alias("_tk")))
+    if not again.isEmpty():
+        twice = texts.join(small_side(scratch, again), ["_id", "_tk"], "left_semi").dropDuplicates(["_id", "_tk"])
+        texts = texts.join(small_side(scratch, again), ["_id", "_tk"], "left_anti").unionByName(twice)
+    # Documents with several texts link the classes of these.
+    several = scratch.save(able.groupBy("id").agg(F.min(F.struct("h1", "h2", "n")).alias("lo"), F.max(F.struct("h1", "h2", "n")).alias("hi")).where("lo <> hi").select("id"))
+    own = None
+    if not several.isEmpty():
+        own = able.join(several, "id").join(same, ["h1", "h2", "n"]).select(F.greatest("id", "rep").alias("a"), F.least("id", "rep").alias("b")).where("a <> b").distinct()
+
+    rows = classes.select("rep", "tk", F.posexplode("bands").alias("i", "key"))
     order = F.struct(F.xxhash64("rep", F.col("i") % 3).alias("o"), F.col("rep"))
     buckets = scratch.save(rows.groupBy("key").agg(F.min(order).alias("head"), F.count("*").alias("m")).where("m > 1").select("key", F.col("head.rep").alias("head"), "m"))
-    members = scratch.save(rows.join(buckets, "key").select("key", "rep", "head", "m"))
+    members = scratch.save(rows.join(buckets, "key").select("key", "rep", "tk", "head", "m"))
     stars = members.where("rep <> head").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
     links = confirm(scratch, scratch.save(stars), classes, texts, percent)
-    comp = scratch.save(components(scratch, links))
+    comp = scratch.save(components(scratch, links if own is None else links.unionByName(own)))
 
     # Buckets of three or more whose members are not yet all connected.
-    at = members.where("m > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(classes.select("rep", "n"), "rep")
-    at = scratch.save(at.select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")))
+    at = members.where("m > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(classes.select("rep", "tk", "n"), ["rep", "tk"])
+    at = scratch.save(at.select("key", "rep", "tk", "n", F.coalesce("comp", "rep").alias("comp")))
     apart = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("all")).where("lo <> hi").select("key", "m", "all")
-    more = connect(scratch, scratch.save(at.join(apart, "key")), texts, percent)
+    apart = scratch.save(apart)
+    more = connect(scratch, scratch.save(at.join(small_side(scratch, apart), "key")), texts, percent)
     if not more.isEmpty():
         top = components(scratch, more)
         moved = comp.join(top.select(F.col("node").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))

@@ -38,7 +38,7 @@ TOLERANCE = 1 / 8
 
 
 def pack(items: np.ndarray, shards: int) -> np.ndarray:
-    """A shard for each item (rows of bytes, tokens, rows), largest first by bytes.
+    """A shard for each item (rows of bytes, tokens, rows), largest first by its largest share of the three.
 
     Shards with room for an item in all three dimensions come first, then those with room for its
     bytes; when no shard has room, the emptiest by bytes is taken.  A shard has room up to its even share.
@@ -47,7 +47,7 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
     share = items / np.where(total > 0, total, 1)
     left = np.full((shards, items.shape[1]), 1 / shards)
     out = np.zeros(len(items), dtype=np.int32)
-    order = np.lexsort((np.arange(len(items)), -share[:, 2], -share[:, 1], -share[:, 0]))
+    order = np.lexsort((np.arange(len(items)), -share.max(axis=1)))
     for i in order:
         fits = (left >= share[i]).all(axis=1)
         fits = fits if fits.any() else left[:, 0] >= share[i, 0]

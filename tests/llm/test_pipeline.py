@@ -32,7 +32,7 @@ def test_stages_against_brute_force(spark):
     assert {r.doc_id for r in after.collect()} == kept and 0 < len(kept) < before.count()
 
     before, after = seen["minhash_dedup"]
-    comp, _ = components(rows(before))
+    comp, _ = components(rows(before), corpus_pipeline.NEAR_PERCENT)
     assert {r.doc_id for r in after.collect()} == {i for i, c in comp.items() if i == c}
 
     before, after = seen["suffix_dedup"]

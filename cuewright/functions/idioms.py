@@ -64,3 +64,21 @@ def hash_bucket(x: Column, n: Column) -> Column:
 def module_chunk(path: Column, marker: str = "node_modules/") -> Column:
     """The name of the directory after a marker, or null."""
     return F.when(F.contains(path, F.lit(marker)), F.split_part(F.split_part(path, F.lit(marker), F.lit(2)), F.lit("/"), F.lit(1)))
+
+
+def variant(variants: Column, name: Column, default: str = "default") -> Column:
+    """A map's value for a name, or that of the default variant."""
+    return F.coalesce(F.try_element_at(variants, name), F.try_element_at(variants, F.lit(default)))
+
+
+def overlay(left: Column, right: Column) -> Column:
+    """Two maps as one; keys of the right one win, with null values too, and a null map is an empty one."""
+    empty = F.create_map().cast("map<string,string>")
+    l, r = F.coalesce(left, empty), F.coalesce(right, empty)
+    return F.map_concat(F.map_filter(l, lambda k, _: ~F.map_contains_key(r, k)), r)
+
+
+def kind_of(json: Column) -> Column:
+    """number, string, object or other, for JSON text; other where it does not parse."""
+    kind = F.schema_of_variant(F.try_parse_json(json))
+    return F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), "number").when(kind == "STRING", "string").when(kind.startswith("OBJECT"), "object").otherwise("other")

@@ -20,9 +20,15 @@ def placeholders(spark, n: int = CELLS) -> DataFrame:
 
 
 def pad(arrangements: DataFrame, blocks: DataFrame, key: str, cells: int = CELLS) -> DataFrame:
-    """Every arrangement's cells from 0, each with its block or nulls; blocks beyond the grid are cut."""
-    grid = arrangements.select(key, F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("pos"))
-    return grid.join(blocks.where(F.col("pos") < cells), [key, "pos"], "left")
+    """Every arrangement's cells from 0, each with its block or nulls; blocks beyond the grid are cut.
+
+    An arrangement's blocks travel as one array, so the grid is laid out after the join and not before it.
+    """
+    rest = [c for c in blocks.columns if c not in (key, "pos")]
+    lists = blocks.where(F.col("pos") < cells).groupBy(key).agg(F.collect_list(F.struct("pos", *rest)).alias("_own"))
+    grid = arrangements.select(key).join(lists, key, "left").select(key, "_own", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("pos"))
+    here = grid.select(key, "pos", F.get(F.filter("_own", lambda b: b["pos"] == F.col("pos")), F.lit(0)).alias("_block"))
+    return here.select(key, "pos", *[F.col(f"_block.{c}").alias(c) for c in rest])
 
 
 def fallback(arrangements: DataFrame, blocks: DataFrame, key: str, cells: int = CELLS) -> DataFrame:
@@ -59,3 +65,9 @@ def swap(blocks: DataFrame, moves: DataFrame, key: str) -> DataFrame:
     moved = F.when(a.isNull() | b.isNull() | (a == b), p).when(p == a, b).when(p == b, a).otherwise(p)
     w = Window.partitionBy(key).orderBy("moved")
     return m.withColumn("moved", moved).withColumn("pos", (F.row_number().over(w) - 1).cast("int")).drop("moved", "src", "dst")
+
+
+def selected(id: Column, wanted: Column) -> tuple[Column, Column]:
+    """Whether a block is the wanted one: by equality, and by equality with an id that is neither null nor 0."""
+    same = F.coalesce(id == wanted, F.lit(False))
+    return same, same & F.coalesce(wanted != 0, F.lit(False))

@@ -80,6 +80,22 @@ def dispatch(events: DataFrame, macros: DataFrame, tracks: DataFrame, daws: Data
     )
 
 
+def dead_letters(events: DataFrame, macros: DataFrame, tracks: DataFrame, daws: DataFrame) -> DataFrame:
+    """(seq, action_pos, reason, detail): noteons without a macro, macros that do not parse, actions whose track or target is unknown, commands without an id."""
+    notes = noteons(events)
+    met = match(notes, macros)
+    found = resolve(actions(met, "seq", "macro_name"), tracks)
+    none = F.lit(None).cast("int").alias("action_pos")
+    row = lambda df, pos, reason, detail: df.select("seq", pos, F.lit(reason).alias("reason"), F.col(detail).cast("string").alias("detail"))
+    return (
+        row(miss(notes, macros), none, "macro miss", "macro_id")
+        .unionByName(row(malformed(met), none, "malformed", "actions_json"))
+        .unionByName(row(found.where("track_index is null"), F.col("action_pos"), "track miss", "track"))
+        .unionByName(row(found.where("track_index is not null").join(daws.select("daw"), "daw", "left_anti"), F.col("action_pos"), "unknown target", "daw"))
+        .unionByName(row(events.where((F.col("_type") == "cc") & ~valid_command(F.col("note"))), none, "invalid payload", "note"))
+    )
+
+
 def reverse_lookup(tracks: DataFrame) -> DataFrame:
     """The first name of each index, in list order."""
     return tracks.groupBy("idx").agg(F.min_by("track", "pos").alias("track"))

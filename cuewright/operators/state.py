@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.idioms import clamp, hash_bucket, truthy_number
-
-#: Events of one range of sequence numbers, for running counts.
-RANGE = 1 << 16
+from ..sources.shared_folder import shared_folder
 
 
 def running_count(df: DataFrame, seq: str, name: str) -> DataFrame:
-    """The number of rows up to each, by ``seq``.
+    """The number of rows up to each, by ``seq``, which may be as sparse or uneven as it likes.
 
-    Rows are counted by ranges of ``seq`` first; only the ranges' totals
-    are summed in one order, so no task sorts everything.
+    Rows are sorted by ranges that follow their distribution and written once, numbered within
+    their range; only the ranges' totals are summed in one order.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(seq) / RANGE).cast("bigint"))
+    spark, at = df.sparkSession, shared_folder(df.sparkSession)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    ranged = df.repartitionByRange(seq).sortWithinPartitions(seq).select("*", F.spark_partition_id().alias("_range"), inside.alias("_inside"))
+    ranged.write.parquet(at)
+    ranged = spark.read.schema(ranged.schema).parquet(at)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(seq))
-    return ranged.withColumn("_inside", inside).join(totals, "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_before", "_inside")
+    return ranged.join(totals, "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_before", "_inside")
 
 
 def toggled(commands: DataFrame, seq: str) -> DataFrame:

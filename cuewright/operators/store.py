@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import logging
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,3 +46,19 @@ def snapshot(df: DataFrame, path: str) -> None:
 
 def create_table(spark: SparkSession, name: str, schema: str) -> None:
     spark.sql(f"create table if not exists {name} ({schema}) using parquet")
+
+
+def send(commands: DataFrame, path: str) -> bool:
+    """Append commands to a log; a log that cannot be written is no error for the sender, who is told so."""
+    try:
+        commands.write.mode("append").parquet(path)
+    except Exception as failed:  # the sender goes on, whatever the log's store says
+        logging.getLogger(__name__).warning("commands were not stored: %s", str(failed).splitlines()[0])
+        return False
+    return True
+
+
+def traced(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """The same rows; once they are used, the observation says how many there were."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen

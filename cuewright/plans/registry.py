@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ TYPES = "['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD']"
 ACT = f"""act as (select p_partkey as id, p_name as name, cast(j as int) as action_pos,
   case when p_partkey % 11 = 0 and j = 1 then 'logic' when (p_partkey + j) % 2 = 0 then 'reaper' else 'ableton' end as daw,
   case when j = 0 then p_type else {TYPES}[(p_size + j) % 6 + 1] end as track, ['volume', 'pan', 'mute'][j + 1] as command, cast(p_size + j as double) as value
-  from part, range(3) r(j) where p_partkey < 100 and p_partkey % 7 <> 0 and j <= p_partkey % 3)"""
+  from part, range(3) r(j) where j <= p_partkey % 3)"""
 TM = "tm as (select * from (values ('ECONOMY', 1), ('LARGE', 2), ('MEDIUM', 3), ('PROMO', 4), ('SMALL', 5)) t(track, idx))"
 ADDRESS = "case daw when 'reaper' then '/track/' || idx || '/' || command when 'ableton' then '/live/track/' || idx || '/' || command else '' end"
 BL = """bl as (select l_orderkey as arrangement, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 as int) as pos, l_partkey as id,
@@ -103,17 +105,17 @@ def command_router(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- lookups
 
 
-@query(f"with {EV} select seq, note as macro_id, p_name as macro_name from ev join part on p_partkey = note where _type = 'noteon' and p_partkey < 100 and p_partkey % 7 <> 0")
+@query(f"with {EV} select seq, note as macro_id, p_name as macro_name from ev join part on p_partkey = note where _type = 'noteon'")
 def macro_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.match(L.noteons(D.device_events(spark, sf_dir)), D.macros(spark, sf_dir)).select("seq", "macro_id", "macro_name")
 
 
-@query(f"with {EV} select seq, note as macro_id from ev where _type = 'noteon' and not exists (select 1 from part where p_partkey = note and p_partkey < 100 and p_partkey % 7 <> 0)")
+@query(f"with {EV} select seq, note as macro_id from ev where _type = 'noteon' and not exists (select 1 from part where p_partkey = note)")
 def macro_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.miss(L.noteons(D.device_events(spark, sf_dir)), D.macros(spark, sf_dir)).select("seq", "macro_id")
 
 
-@query(f"with {EV} select seq as event_id, p_name as name from ev join part on p_partkey = note where _type = 'noteon' and p_partkey < 100 and p_partkey % 7 <> 0")
+@query(f"with {EV} select seq as event_id, p_name as name from ev join part on p_partkey = note where _type = 'noteon'")
 def macro_debug_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.match(L.noteons(D.device_events(spark, sf_dir)), D.macros(spark, sf_dir)).select(F.col("seq").alias("event_id"), F.col("macro_name").alias("name"))
 
@@ -182,6 +184,19 @@ def macro_dispatch_strict_abort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.dispatch(D.device_events(spark, sf_dir), D.macros(spark, sf_dir), D.track_map(spark), D.daws(spark), strict_abort=True)
 
 
+DEAD = f"""with {EV}, {ACT}, {TM}, m as (select seq, act.* from ev join act on act.id = note where _type = 'noteon')
+  select seq, cast(null as int) as action_pos, 'macro miss' as reason, cast(note as varchar) as detail from ev where _type = 'noteon' and note not in (select id from act)
+  union all select seq, action_pos, 'track miss', track from m where track not in (select track from tm)
+  union all select seq, action_pos, 'unknown target', daw from m where track in (select track from tm) and daw not in ('reaper', 'ableton')
+  union all select seq, null, 'invalid payload', cast(note as varchar) from ev where _type = 'cc' and coalesce(note, 0) = 0"""
+
+
+@query(DEAD)
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What could not be sent, and why."""
+    return L.dead_letters(D.device_events(spark, sf_dir), D.macros(spark, sf_dir), D.track_map(spark), D.daws(spark))
+
+
 TOGGLE = "select event_id, row_number() over (order by event_id) % 2 = 1 as is_playing from events where event_type = 'purchase'"
 
 
@@ -218,9 +233,9 @@ def insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.insert_or_ignore(D.seed_settings(spark).select("key", "value"), new, "key", "event_id")
 
 
-@query("select 60 + row_number() over (order by p_partkey) as id, p_name as name from part where p_partkey > 100")
+@query("select 60 + row_number() over (order by p_partkey) as id, p_name as name from part")
 def auto_increment_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = D.table(spark, sf_dir, "part").where("p_partkey > 100").select("p_partkey", F.col("p_name").alias("name"))
+    new = D.table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
     return store.with_ids(D.seed_mappings(spark), new, "id", "p_partkey").select("id", "name")
 
 
@@ -239,7 +254,7 @@ def status_patch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.last_by(patches, ["field"], "value", "event_id")
 
 
-@query(f"with {EV} select arg_max(p_name, seq) as name from ev join part on p_partkey = note where _type = 'noteon' and p_partkey < 100 and p_partkey % 7 <> 0")
+@query(f"with {EV} select arg_max(p_name, seq) as name from ev join part on p_partkey = note where _type = 'noteon'")
 def last_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return macro_debug_echo(spark, sf_dir).agg(F.max_by("name", "event_id").alias("name"))
 
@@ -325,6 +340,29 @@ def now_playing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.join(lists, "arrangement", "left").select("arrangement", b.alias("x")).select("arrangement", F.col("x.id").alias("block_id"), F.col("x.pos").alias("block_pos"))
 
 
+@query(f"""with {BL}, st as (select o_orderkey, case when o_custkey % 3 = 0 then 0 else o_custkey % 40 end as active, case when o_custkey % 4 = 1 then null else o_custkey % 60 end as cur, o_custkey % 80 as playing_id from orders),
+  w as (select *, case when active <> 0 then active when cur <> 0 then cur when playing_id <> 0 then playing_id end as wanted from st)
+  select o_orderkey as arrangement, wanted, (select min(pos) from bl where bl.arrangement = o_orderkey and bl.id % 100 = wanted) as block_pos from w""")
+def now_playing_three_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first truthy of three ids names the block; an id that no block has gives none."""
+    c = F.col("o_custkey")
+    ids = [F.when(c % 3 == 0, 0).otherwise(c % 40).cast("bigint"), F.when(c % 4 == 1, None).otherwise(c % 60).cast("bigint"), (c % 80).cast("bigint")]
+    status = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("arrangement"), *[x.alias(n) for x, n in zip(ids, ("active", "cur", "playing"), strict=True)])
+    lists = D.blocks(spark, sf_dir).groupBy("arrangement").agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("id") % 100).alias("id")))).alias("b"))
+    three = [F.col(n) for n in ("active", "cur", "playing")]
+    none = F.lit(None)
+    b = S.now_playing(F.coalesce("b", F.array().cast("array<struct<pos:int,id:bigint>>")), three, none.cast("int"), F.lit(False), none.cast("double"))
+    return status.join(lists, "arrangement", "left").select("arrangement", idioms.truthy_number(*three).alias("wanted"), b["pos"].alias("block_pos"))
+
+
+@query(f"with {BL} select arrangement, pos, coalesce(id % 7 = o_custkey % 7, false) as is_selected, coalesce(o_custkey % 7 <> 0 and id % 7 = o_custkey % 7, false) as is_selected_truthy from bl join orders on o_orderkey = arrangement")
+def block_is_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each block whether it is the selected one: plain equality, and equality with an id that must be truthy."""
+    sel = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("arrangement"), (F.col("o_custkey") % 7).alias("sel"))
+    b = D.blocks(spark, sf_dir).select("arrangement", "pos", (F.col("id") % 7).alias("id")).join(sel, "arrangement")
+    return b.select("arrangement", "pos", *[x.alias(n) for x, n in zip(B.selected(F.col("id"), F.col("sel")), ("is_selected", "is_selected_truthy"), strict=True)])
+
+
 # --- text and JSON
 
 SHAPES = "case event_id % 4 when 0 then '[{\"id\":' || event_id || ',\"name\":\"a\",\"length\":1}]' when 1 then '{\"blocks\":[{\"id\":' || event_id || ',\"name\":\"b\",\"length\":2},{\"id\":0,\"name\":\"c\",\"length\":3}]}' when 2 then '{\"abstract\":\"' || event_type || '\"}' else 'not json' end"
@@ -347,6 +385,36 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("event_id", F.to_json("p").alias("again"), F.to_json(over).alias("merged"))
 
 
+@query("select p_partkey, case p_type when 'SMALL' then 'ghost' when 'LARGE' then 'primary' else 'plain' end as style, p_type || ' ' || p_brand || ' ' || p_name as title from part")
+def variant_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map look-up with a default variant, and an array joined by blanks."""
+    styles = F.create_map(*map(F.lit, ("SMALL", "ghost", "LARGE", "primary", "default", "plain")))
+    return D.table(spark, sf_dir, "part").select("p_partkey", idioms.variant(styles, F.col("p_type")).alias("style"), F.array_join(F.array("p_type", "p_brand", "p_name"), " ").alias("title"))
+
+
+@query("""select event_id, case when event_id % 3 = 0 then 'live' else 'idle' end as mode, case when event_id % 3 = 1 then null else cast(user_id as varchar) end as who, event_type as kind from events""")
+def status_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map laid over another: the right one wins, with nulls too."""
+    left = F.create_map(F.lit("mode"), F.lit("idle"), F.lit("who"), F.col("user_id").cast("string"))
+    kind = [F.lit("kind"), F.col("event_type")]
+    right = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("mode"), F.lit("live"), *kind)).when(F.col("event_id") % 3 == 1, F.create_map(F.lit("who"), F.lit(None).cast("string"), *kind)).otherwise(F.create_map(*kind))
+    over = D.table(spark, sf_dir, "events").select("event_id", idioms.overlay(left, right).alias("m"))
+    return over.select("event_id", *[F.try_element_at("m", F.lit(k)).alias(k) for k in ("mode", "who", "kind")])
+
+
+@query("select event_id, case event_id % 4 when 0 then 'number' when 1 then 'string' when 2 then 'object' else 'other' end as kind from events")
+def payload_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type of a JSON payload."""
+    t = F.expr("case event_id % 4 when 0 then cast(event_id as string) when 1 then '\"' || event_type || '\"' when 2 then props else 'not json' end")
+    return D.table(spark, sf_dir, "events").select("event_id", idioms.kind_of(t).alias("kind"))
+
+
+@query("select page_id, url from pages order by page_id limit 1")
+def first_device(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first row in a fixed order."""
+    return D.table(spark, sf_dir, "pages").select("page_id", "url").orderBy("page_id").limit(1)
+
+
 @query("select page_id, case when contains(p, 'node_modules/') then split_part(split_part(p, 'node_modules/', 2), '/', 1) end as chunk from (select page_id, case when page_id % 2 = 0 then 'src/node_modules/' || split_part(url, '/', 3) || '/index.js' else url end as p from pages)")
 def module_chunk_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("src/node_modules/"), F.split_part("url", F.lit("/"), F.lit(3)), F.lit("/index.js"))).otherwise(F.col("url"))
@@ -381,3 +449,64 @@ def snapshot_write_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{shared_folder(spark)}/parts"
     store.snapshot(D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), at)
     return store.open_table(spark, at, "id bigint, name string")
+
+
+@query(DISPATCH)
+def stream_delivery_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event comes twice; each message is delivered once, to its target's folder."""
+    return P.deliver_stream(spark, [f"{sf_dir}/events.parquet"] * 2, D.macros(spark, sf_dir), D.track_map(spark), D.daws(spark))
+
+
+@query(DEAD)
+def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's side output."""
+    return P.dead_letter_stream(spark, f"{sf_dir}/events.parquet", D.macros(spark, sf_dir), D.track_map(spark), D.daws(spark))
+
+
+@query(STATUS)
+def stream_status_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status written at each tick of the clock, read on demand."""
+    return P.status_periodic(spark, f"{sf_dir}/events.parquet")
+
+
+REFRESHED = f"""with {EV}, {ACT}, h as (select max(event_id) // 2 as h from events), tm as (select * from (values (0, 'ECONOMY', 1), (0, 'LARGE', 2), (1, 'LARGE', 1), (1, 'SMALL', 2)) t(later, track, idx))
+  select seq as event_id, action_pos, daw, act.track, idx as track_index from ev join act on act.id = note join h on true join tm on tm.track = act.track and tm.later = cast(seq > h as int) where _type = 'noteon' and daw in ('reaper', 'ableton')"""
+
+
+@query(REFRESHED)
+def stream_refreshed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The track list changes between two micro-batches; each uses the list of its time."""
+    events = D.table(spark, sf_dir, "events")
+    half = events.agg(F.floor(F.max("event_id") / 2)).first()[0]
+    at = shared_folder(spark)
+    paths = [f"{at}/first", f"{at}/second"]
+    for path, which in zip(paths, (F.col("event_id") <= half, F.col("event_id") > half), strict=True):
+        events.where(which).coalesce(1).write.parquet(path)
+    lists = iter(["ECONOMY,LARGE", "LARGE,SMALL"])
+    for path in paths:  # the same query goes on from its checkpoint over the files that came
+        tracks = next(lists)
+        P.dispatch_refreshed(spark, path, lambda t=tracks: (D.macros(spark, sf_dir), D.track_map(spark, t), D.daws(spark)), lambda df, epoch, to=path: df.write.mode("overwrite").parquet(f"{to}-sent/{epoch}"))
+    sent = spark.read.parquet(*[f"{p}-sent/*" for p in paths])
+    return sent.select("event_id", "action_pos", "daw", "track", "track_index")
+
+
+@query("select event_id, case when event_type = 'purchase' then 'MACRO_PLAY' else 'MACRO' end as command, cast(case when event_type <> 'purchase' then cast(json_extract_string(props, '$.k') as int) end as bigint) as macro_id from events")
+def command_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands appended to the command log in two goes, and read back."""
+    t = D.table(spark, sf_dir, "events")
+    rows = t.select("event_id", F.when(F.col("event_type") == "purchase", "MACRO_PLAY").otherwise("MACRO").alias("command"), F.when(F.col("event_type") != "purchase", F.get_json_object("props", "$.k").cast("bigint")).alias("macro_id"))
+    log = f"{shared_folder(spark)}/commands"
+    for k in (0, 1):
+        assert store.send(rows.where(F.col("event_id") % 2 == k), log)
+    return store.open_table(spark, log, "event_id bigint, command string, macro_id bigint")
+
+
+@query(f"select key, value from {SEED}")
+def create_if_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table created twice and filled once."""
+    name = f"settings_{uuid.uuid4().hex}"
+    for _ in range(2):
+        store.create_table(spark, name, D.SETTINGS)
+    D.seed_settings(spark).write.insertInto(name)
+    store.create_table(spark, name, D.SETTINGS)
+    return spark.table(name).select("key", "value")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the cluster's checkpoint folder; where none is set (tests), in a local one that is set here."""
+    """A new path in the cluster's checkpoint folder; where none is set on a local master (tests), in a local one that is set here."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cuewright-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/{uuid.uuid4().hex}"

@@ -23,8 +23,8 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Events from a file or folder; as a pattern, a single file is allowed too."""
-    return spark.readStream.schema(EVENTS).parquet(f"{path}*")
+    """Events from a folder, or from a single file, which as a pattern of itself is allowed too."""
+    return spark.readStream.schema(EVENTS).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_to_files(df: DataFrame, spark: SparkSession) -> DataFrame:
@@ -94,6 +94,72 @@ def status_stream(spark: SparkSession, path: str) -> DataFrame:
     return every.where(F.col("epoch") == newest).select("field", "value")
 
 
+def status_periodic(spark: SparkSession, path: str, period: str = "1 second") -> DataFrame:
+    """The last status written at each tick of the clock; ``latest`` reads it on demand, as a new subscriber does."""
+    at = shared_folder(spark)
+    patches = event_stream(spark, path).select(F.col("event_type").alias("field"), F.col("event_id").alias("seq"), patch_value().alias("value"))
+    last = patches.groupBy("field").agg(F.max_by(F.struct("value"), "seq").alias("v")).select("field", "v.value")
+    stop = subscribe(last, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}"), f"{at}/state", mode="complete", period=period)
+    stop()
+    return latest(spark, f"{at}/out", "field string, value double")
+
+
+def latest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The newest snapshot of a state that is written whole in each epoch."""
+    every = spark.read.schema(f"{schema}, epoch bigint").parquet(path)
+    newest = every.agg(F.max("epoch")).first()[0]
+    return every.where(F.col("epoch") == newest).drop("epoch")
+
+
+def subscribe(df: DataFrame, each, state: str, *, mode: str = "append", period: str = "1 second"):
+    """Start a query that gives every micro-batch to ``each(batch, epoch)``; the function that is returned ends it once it has read what is there.
+
+    Opening and closing a source is starting and stopping its query; timers of the caller need none.
+    """
+    query = df.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", state).trigger(processingTime=period).start()
+
+    def stop() -> None:
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+
+    return stop
+
+
+def deliver_stream(spark: SparkSession, paths: list[str], macros: DataFrame, tracks: DataFrame, daws: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Messages delivered once each, to a folder for each target.
+
+    An event that comes again within ``late`` of event time is dropped by its id, so state is bounded; a
+    micro-batch that is run again overwrites its own folder.
+    """
+    at = shared_folder(spark)
+    events = event_stream(spark, paths[0])
+    for p in paths[1:]:
+        events = events.union(event_stream(spark, p))
+    once = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        sent = lookup.dispatch(batch.select(*model.event_columns()), macros, tracks, daws)
+        sent.write.mode("overwrite").partitionBy("daw").parquet(f"{at}/out/epoch={epoch}")
+
+    once.writeStream.foreachBatch(each).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("basePath", f"{at}/out").parquet(f"{at}/out/*").drop("epoch")
+
+
+def dead_letter_stream(spark: SparkSession, path: str, macros: DataFrame, tracks: DataFrame, daws: DataFrame) -> DataFrame:
+    """What the stream could not send: the side output of the micro-batches that write the messages."""
+    at = shared_folder(spark)
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        events = batch.select(*model.event_columns())
+        lookup.dispatch(events, macros, tracks, daws).write.mode("overwrite").parquet(f"{at}/sent/{epoch}")
+        lookup.dead_letters(events, macros, tracks, daws).write.mode("overwrite").parquet(f"{at}/dead/{epoch}")
+
+    event_stream(spark, path).writeStream.foreachBatch(each).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/dead/*")
+
+
 def patch_value():
     """A status patch's value; some patches set null."""
     return F.when(F.col("event_id") % 10 != 0, F.col("value"))

@@ -192,10 +192,10 @@ def repeats(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: str
     at = kept.repartitionByRange(*order).sortWithinPartitions(*order)
     chosen = scratch.save(at.mapInArrow(neighbours, "doc bigint, pos int").groupBy("doc").agg(F.collect_list("pos").alias("at")))
     scratch.drop(kept)
-    # The chosen suffixes grow with the documents, so they are joined in one way at every size.
-    found = scratch.save(one.join(chosen, "doc").select("doc", "t", "at").mapInArrow(windows, "window bigint, doc bigint, pos int, last int"))
+    # Chosen suffixes and shared windows grow with the documents, so they are joined in one way at every size.
+    found = scratch.save(one.join(chosen.hint("merge"), "doc").select("doc", "t", "at").mapInArrow(windows, "window bigint, doc bigint, pos int, last int"))
     shared = scratch.save(found.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("other")).where("first <> other").select("window", "first"))
-    met = found.join(small_side(scratch, shared), "window").select("doc", F.col("pos").alias("s"), F.col("last").alias("t"), F.when(F.col("first") < F.col("doc"), F.col("first")).alias("first"))
+    met = found.join(shared.hint("merge"), "window").select("doc", F.col("pos").alias("s"), F.col("last").alias("t"), F.when(F.col("first") < F.col("doc"), F.col("first")).alias("first"))
     # Windows of one document in a row make one span.
     met = scratch.save(met)
     scratch.drop(found, shared)

@@ -10,12 +10,12 @@ A pair at similarity 0.85 shares a band with probability 1 - 4e-7, at 0.80 with
 Scale.  Documents with equal sets form one class before anything else (one
 partial aggregation), so exact copies never meet in pairs.  In a bucket each
 class is compared with a few heads (least by three fixed orders), which links
-nearly all of a large group with work linear in its size.  A bucket whose
-classes are still in different components afterwards is cut into blocks of bounded
-size; two blocks at a time meet in one group, where the full sets are compared by matrix
-products and only links between components come out, never pairs.
-Connectivity, and so every result column, is the same as if all pairs of each bucket had
-been compared.
+nearly all of a large group with work linear in its size.  Buckets whose
+classes are still in different components afterwards are compared by matrix products of the full sets
+within blocks of bounded size, where only links between components come out, never pairs; a bucket of
+more than one block is first split by the rarest shingles of its sets, which parts texts that
+share only what is frequent and loses no link.
+Connectivity, and so every result column, is at least that of all pairs of each bucket, of confirmed links only.
 
 Defined results: null or wordless text has an empty set and is linked with
 nothing; a null id is linked with nothing and kept; rows that repeat an id are
@@ -42,6 +42,8 @@ LANES = HASHES * BITS // 64
 #: Most rows, and about most shingles, of a block of a bucket.
 BLOCK = 512
 BLOCK_SHINGLES = 400_000
+#: Shingles in more than one of so many places are broadcast when members of large buckets are ranked; there are at most so many.
+TOP = 4096
 #: The screen is so many standard deviations of the estimate below the threshold (0.631 for 0.80, 0.699 for 0.85).
 DEVIATIONS = 4.6
 
@@ -220,20 +222,40 @@ def block_links(rep: np.ndarray, comp: np.ndarray, second: np.ndarray, sets: lis
     return pairs[:, 0], pairs[:, 1]
 
 
+def rarest(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Smaller buckets (key, rep, tk, n, comp, m, all) for the members (rep, tk, n, comp) of large ones, by their rarest shingles.
+
+    With the shingles of each set ordered by how many members have them (ties by hash), two sets that are
+    similar enough share one among the first n - ceil(n * percent / 100) + 1 of each (prefix filtering, exact).
+    So texts that share frequent shingles alone meet no more.  Shingles in over 1/4096 of the places,
+    at most 4,096 of them, are broadcast, so that none makes a hot join key.
+    """
+    each = members.join(sets, ["rep", "tk"]).select("rep", "tk", "n", "comp", F.explode("s").alias("x"))
+    often = scratch.save(each.groupBy("x").agg(F.count("*").alias("c")).where("c > 1"))
+    places = members.agg(F.sum("n")).first()[0]
+    top = F.broadcast(often.where(F.col("c") * TOP > places))
+    rest = each.join(top, "x", "left_anti").join(often.where(F.col("c") * TOP <= places).hint("merge"), "x", "left")
+    known = each.join(top, "x").unionByName(rest)
+    ranked = known.groupBy("rep", "tk", "n", "comp").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), F.col("x")))).alias("o"))
+    first = F.slice("o", F.lit(1), F.expr(f"cast(n - ({percent} * n + 99) div 100 + 1 as int)"))
+    rows = scratch.save(ranked.select("rep", "tk", "n", "comp", F.explode(F.filter(first, lambda e: e["c"] > 0)["x"]).alias("key")))
+    apart = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("all")).where("lo <> hi").select("key", "m", "all")
+    return scratch.save(rows.join(small_side(scratch, scratch.save(apart)), "key").select("key", "rep", "tk", "n", "comp", "m", "all"))
+
+
 def connect(scratch: Scratch, rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components for buckets (key, rep, tk, n, comp, m, all) whose members are in several.
 
-    A bucket is cut into blocks of bounded rows and shingles, and each
-    two blocks (and each with itself) are one group; only links between components leave it.
+    Members of buckets of more than one block meet by their rarest shingles instead.  A bucket is cut into
+    blocks of bounded rows and shingles, and each two blocks (and each with itself) are one group; only links
+    between components leave it.
     """
 
     def sets_of(column: pa.Array) -> pa.Array:
-        out = []
-        for u, first in shingles(column):
-            out += [u[first[i] : first[i + 1]].tobytes() for i in range(len(first) - 1)]
-        return pa.array(out, type=pa.binary())
+        out = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(u.view(np.int64))) for u, first in shingles(column)]
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("array<bigint>")
     def shingle_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return each_batch(sets_of, batches)
 
@@ -244,13 +266,16 @@ def connect(scratch: Scratch, rows: DataFrame, texts: DataFrame, percent: int) -
         rep = both[at, 0]
         blk, bi = table.column("blk").to_numpy()[at], table.column("bi").to_numpy()[at]
         column = table.column("s")
-        sets = [np.frombuffer(column[int(i)].as_py(), dtype=np.uint64) for i in at]
+        sets = [column[int(i)].values.to_numpy().view(np.uint64) for i in at]
         a, b = block_links(rep, table.column("comp").to_numpy()[at], blk != bi, sets, percent)
         return pa.table({"a": a, "b": b})
 
     ids = scratch.save(rows.select("rep", "tk").distinct())
     sets = scratch.save(texts.join(small_side(scratch, ids), (F.col("_id") == F.col("rep")) & (F.col("_tk") == F.col("tk"))).select("rep", "tk", shingle_set("_text").alias("s")))
     blocks_of = F.greatest(F.expr(f"(m + {BLOCK} - 1) div {BLOCK}"), F.expr(f"(all + {BLOCK_SHINGLES} - 1) div {BLOCK_SHINGLES}")).cast("int")
+    large = scratch.save(rows.where(blocks_of > 1).select("rep", "tk", "n", "comp").distinct())
+    if not large.isEmpty():
+        rows = rows.where(blocks_of == 1).unionByName(rarest(scratch, large, sets, percent))
     cut = rows.select("key", "rep", "tk", "comp", blocks_of.alias("nb")).withColumn("blk", F.pmod(F.xxhash64("rep", "tk", F.lit(5)), F.col("nb")).cast("int"))
     meet = cut.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).select("key", "rep", "tk", "comp", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
     met = meet.join(sets, ["rep", "tk"]).groupBy("key", "bi", "bj").applyInArrow(links, "a bigint, b bigint")

@@ -33,6 +33,49 @@ def test_large_group_of_near_copies(spark, scratch, monkeypatch):
     check(spark, scratch, rows)
 
 
+def test_frequent_text_in_large_buckets(spark, scratch, monkeypatch):
+    """Texts that share most of their words but are not linked meet no more; near copies among them are found."""
+    monkeypatch.setattr(M, "BLOCK", 8)
+    met, ranked = [], M.rarest
+
+    def seen(*args):
+        out = ranked(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "rarest", seen)
+    rnd = random.Random(4)
+    common = words(rnd, 140, 10_000)
+    rows = [(i, " ".join([*common, *words(rnd, 45, 10**6)]), "en", "s", 0) for i in range(60)]
+    comp = check(spark, scratch, rows)
+    assert len(set(comp.values())) == 60 and met == [0]
+    for i in range(0, 60, 4):
+        w = rows[i][1].split(" ")
+        w[150 + i // 4] = f"x{i}"
+        rows.append((100 + i, " ".join(w), "en", "s", 0))
+    comp = check(spark, scratch, rows)
+    assert len(set(comp.values())) == 60 and len(met) == 2
+
+
+def test_rarest_shingles_lose_no_link(spark, scratch):
+    rnd = random.Random(9)
+    pool = rnd.sample(range(10**6), 130)
+    sets = [sorted(rnd.sample(pool, len(pool) - rnd.randrange(0, 16))) for _ in range(30)]
+    members = spark.createDataFrame([(i, i, len(s), i) for i, s in enumerate(sets)], "rep long, tk long, n long, comp long")
+    held = spark.createDataFrame([(i, i, s) for i, s in enumerate(sets)], "rep long, tk long, s array<long>")
+    keys = {}
+    for r in M.rarest(scratch, members, held, 85).collect():
+        keys.setdefault(r.rep, set()).add(r.key)
+    near = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            n = len(set(a) & set(b))
+            if 100 * n >= 85 * (len(a) + len(b) - n):
+                near += 1
+                assert keys[i] & keys[j]
+    assert near > 20
+
+
 def test_block_links_against_pairs():
     rnd = random.Random(6)
     pool = np.array(sorted(rnd.sample(range(10**6), 120)), dtype=np.uint64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, minhash, quality_model, quality_rules, sharding, suffix_dedup, toxicity
+from . import bpe, decontaminate, language, merkle, minhash, quality_model, quality_rules, sharding, suffix_dedup, toxicity
 from .shared import Scratch
 
 
@@ -75,6 +75,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, *, limit: int = 4096) ->
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -86,10 +90,12 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_dedup": minhash.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
     "op9_suffix_dedup": suffix_dedup.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }

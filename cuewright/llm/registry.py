@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, merkle, minhash, quality_model, quality_rules, sharding, suffix_dedup, toxicity
+from . import bpe, decontaminate, language, merkle, minhash, pair_index, quality_model, quality_rules, sharding, suffix_dedup, toxicity
 from .shared import Scratch
 
 
@@ -79,6 +79,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each text's ids and of what they decode to."""
+    Scratch(spark)
+    tokenizer = bpe.read_model(model_path("word_bpe_49k.json"))
+    coded = table(spark, sf_dir, "documents").select("doc_id", pair_index.encode(F.coalesce("text", F.lit("")), tokenizer).alias("ids"))
+    both = coded.select("doc_id", "ids", pair_index.decode(F.col("ids"), tokenizer).alias("decoded"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -91,6 +101,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_bpe": op12_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_dedup": minhash.ORACLE,

@@ -53,12 +53,9 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(next(rest)) for b in range(256)]
 
 
-def unassigned() -> re.Pattern:
+def unassigned() -> frozenset[str]:
     """Characters that this Python's Unicode tables do not know."""
-    none = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
-    cut = [i for i in range(1, len(none)) if none[i] != none[i - 1] + 1]
-    spans = zip([0, *cut], [*cut, len(none)], strict=True)
-    return re.compile("[" + "".join(f"\\U{none[a]:08x}-\\U{none[b - 1]:08x}" for a, b in spans) + "]")
+    return frozenset(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn")
 
 
 class WordVocabulary:
@@ -99,7 +96,7 @@ class WordVocabulary:
         """The words of a text without special strings.  White space parts words and is in none, so runs of it need no replacing."""
         if text.isascii():
             return self.word.findall(text.lower())
-        if self.unknown.search(text):  # the library's tables may know more
+        if not self.unknown.isdisjoint(set(text)):  # the library's tables may know more
             return [w for w, _ in self.cutter.pre_tokenize_str(self.normalizer.normalize_str(text))]
         return self.word.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())  # each letter by itself, final or not
 
@@ -134,25 +131,23 @@ class PairIndex:
 
     def merge(self) -> None:
         """Apply the ranks present, the least first, until none is left."""
-        merges, ranks, places, sym = self.vocabulary.merges, self.vocabulary.ranks, self.places, self.sym
+        merges, rank_of, places, sym = self.vocabulary.merges, self.vocabulary.ranks.get, self.places, self.sym
         after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
         agenda = list(places)
         heapify(agenda)
         while agenda:
             rank = heappop(agenda)
             a, b, new = merges[rank]
-            for i in sorted(places.pop(rank)):
-                if sym[i] != a:
-                    continue
-                j = after[i]
-                if sym[j] != b:
+            here = places.pop(rank)
+            here.sort()
+            for i in here:
+                if sym[i] != a or sym[j := after[i]] != b:
                     continue
                 sym[i], sym[j] = new, DEAD
-                k = after[i] = after[j]
-                before[k] = i
-                h = before[i]
-                for at, pair in ((i, new << SHIFT | sym[k] if sym[k] >= 0 else -1), (h, sym[h] << SHIFT | new if h >= 0 and sym[h] >= 0 else -1)):
-                    r = ranks.get(pair)
+                k, h = after[j], before[i]
+                after[i], before[k] = k, i
+                # END beside the new symbol gives a negative number, which no pair has.
+                for r, at in ((rank_of(new << SHIFT | sym[k]), i), (rank_of(sym[h] << SHIFT | new), h)):
                     if r is not None:
                         if r in places:
                             places[r].append(at)
@@ -179,38 +174,40 @@ class WordEncoder:
         self.old: dict[str, tuple[int, ...]] = {}
         self.size = 0
 
-    def keep(self, word: str, code: tuple[int, ...]) -> None:
-        self.size += 200 + 4 * len(word) + 36 * len(code)
-        self.young[word] = code
-        if len(self.young) >= KEPT_WORDS or self.size > KEPT_BYTES:
-            self.young, self.old, self.size = {}, self.young, 0
-
     def codes(self, words: list[str]) -> list[tuple[int, ...]]:
         """The ids of distinct words."""
-        special = self.vocabulary.special
-        found = [(special[w],) if w in special else self.young.get(w) or self.old.get(w) for w in words]
+        special, young, old = self.vocabulary.special, self.young, self.old
+        found = [young.get(w) or old.get(w) for w in words]
         new = [k for k, code in enumerate(found) if code is None]
-        if new:
-            index = PairIndex(self.vocabulary, [words[k] for k in new])
-            index.merge()
-            for k, code in zip(new, index.codes(), strict=True):
-                found[k] = code
-        for w, code in zip(words, found, strict=True):
-            if w not in self.young:
-                self.keep(w, code)
+        index = PairIndex(self.vocabulary, [words[k] for k in new if words[k] not in special])
+        index.merge()
+        merged = iter(index.codes())
+        for k in new:
+            found[k] = (special[words[k]],) if words[k] in special else next(merged)
+        self.keep(words, found)
         return found
 
+    def keep(self, words: list[str], codes: list[tuple[int, ...]]) -> None:
+        """Words met go to the young generation, which becomes the old one when it is full."""
+        lo, step = 0, 1000
+        while lo < len(words):
+            if len(self.young) >= KEPT_WORDS or self.size > KEPT_BYTES:
+                self.young, self.old, self.size = {}, self.young, 0
+            some = dict(zip(words[lo : lo + step], codes[lo : lo + step], strict=True))
+            self.size += sum(200 + 4 * len(w) + 36 * len(c) for w, c in some.items() if w not in self.young)
+            self.young.update(some)
+            lo += step
+
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some texts, one after the other, and where each begins."""
-        at: dict[str, int] = {}
-        which, begin = [], [0]
-        for t in texts:
-            which += [at.setdefault(w, len(at)) for w in self.vocabulary.words(t)]
-            begin.append(len(which))
+        found = [self.vocabulary.words(t) for t in texts]
+        begin = np.cumsum([0, *map(len, found)])
+        words = list(chain.from_iterable(found))
+        at = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        which = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
         codes = self.codes(list(at))
         size = np.fromiter(map(len, codes), np.int64, len(codes))
         flat = np.fromiter(chain.from_iterable(codes), np.int32, int(size.sum()))
-        which = np.array(which, dtype=np.int64)
         each = size[which]
         ends = np.concatenate([[0], np.cumsum(each)])
         from_ = (np.cumsum(size) - size)[which]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, merkle, minhash, pair_index, quality_model, quality_rules, sharding, suffix_dedup, toxicity
+from . import bpe, decontaminate, language, merkle, minhash, pair_index, quality_model, quality_rules, ranked_search, sharding, suffix_dedup, toxicity
 from .shared import Scratch
 
 
@@ -89,6 +89,10 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -102,6 +106,7 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_bpe": op12_bpe,
+    "op13_ranked_search": op13_ranked_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_dedup": minhash.ORACLE,
@@ -109,4 +114,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_quality_rules": quality_rules.ORACLE,
     "op9_suffix_dedup": suffix_dedup.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op13_ranked_search": ranked_search.ORACLE,
 }

@@ -31,6 +31,7 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,8 +90,9 @@ class WordVocabulary:
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.unknown = unassigned()
-        whole = tokenizers.Tokenizer.from_str(data.decode())
-        self.normalizer, self.cutter = whole.normalizer, tokenizers.pre_tokenizers.Split(tokenizers.Regex(self.word.pattern), "removed", invert=True)
+        self.token_column = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.string())
+        self.normalizer = tokenizers.normalizers.Sequence([tokenizers.normalizers.NFC(), tokenizers.normalizers.Lowercase()])
+        self.cutter = tokenizers.pre_tokenizers.Split(tokenizers.Regex(self.word.pattern), "removed", invert=True)
 
     def cut(self, text: str) -> list[str]:
         """The words of a text without special strings.  White space parts words and is in none, so runs of it need no replacing."""
@@ -140,20 +142,31 @@ class PairIndex:
             a, b, new = merges[rank]
             here = places.pop(rank)
             here.sort()
+            high = new << SHIFT
             for i in here:
-                if sym[i] != a or sym[j := after[i]] != b:
+                if sym[i] != a:
+                    continue
+                j = after[i]
+                if sym[j] != b:
                     continue
                 sym[i], sym[j] = new, DEAD
                 k, h = after[j], before[i]
                 after[i], before[k] = k, i
                 # END beside the new symbol gives a negative number, which no pair has.
-                for r, at in ((rank_of(new << SHIFT | sym[k]), i), (rank_of(sym[h] << SHIFT | new), h)):
-                    if r is not None:
-                        if r in places:
-                            places[r].append(at)
-                        else:
-                            places[r] = [at]
-                            heappush(agenda, r)
+                r = rank_of(high | sym[k])
+                if r is not None:
+                    if r in places:
+                        places[r].append(i)
+                    else:
+                        places[r] = [i]
+                        heappush(agenda, r)
+                r = rank_of(sym[h] << SHIFT | new)
+                if r is not None:
+                    if r in places:
+                        places[r].append(h)
+                    else:
+                        places[r] = [h]
+                        heappush(agenda, r)
 
     def codes(self) -> list[tuple[int, ...]]:
         """The symbols of each word."""
@@ -176,27 +189,30 @@ class WordEncoder:
 
     def codes(self, words: list[str]) -> list[tuple[int, ...]]:
         """The ids of distinct words."""
-        special, young, old = self.vocabulary.special, self.young, self.old
-        found = [young.get(w) or old.get(w) for w in words]
-        new = [k for k, code in enumerate(found) if code is None]
-        index = PairIndex(self.vocabulary, [words[k] for k in new if words[k] not in special])
+        special = self.vocabulary.special
+        found = list(map(self.young.get, words))
+        away = [k for k, code in enumerate(found) if code is None]
+        new = []
+        for k in away:
+            code = self.old.get(words[k]) or ((special[words[k]],) if words[k] in special else None)
+            if code is None:
+                new.append(k)
+            found[k] = code
+        index = PairIndex(self.vocabulary, [words[k] for k in new])
         index.merge()
-        merged = iter(index.codes())
-        for k in new:
-            found[k] = (special[words[k]],) if words[k] in special else next(merged)
-        self.keep(words, found)
+        for k, code in zip(new, index.codes(), strict=True):
+            found[k] = code
+        self.keep([words[k] for k in away], [found[k] for k in away])
         return found
 
     def keep(self, words: list[str], codes: list[tuple[int, ...]]) -> None:
-        """Words met go to the young generation, which becomes the old one when it is full."""
-        lo, step = 0, 1000
-        while lo < len(words):
+        """Words that were not young go to the young generation, which becomes the old one when it is full."""
+        for lo in range(0, len(words), 1000):
+            w, c = words[lo : lo + 1000], codes[lo : lo + 1000]
             if len(self.young) >= KEPT_WORDS or self.size > KEPT_BYTES:
                 self.young, self.old, self.size = {}, self.young, 0
-            some = dict(zip(words[lo : lo + step], codes[lo : lo + step], strict=True))
-            self.size += sum(200 + 4 * len(w) + 36 * len(c) for w, c in some.items() if w not in self.young)
-            self.young.update(some)
-            lo += step
+            self.young.update(zip(w, c, strict=True))
+            self.size += 200 * len(w) + 4 * sum(map(len, w)) + 36 * sum(map(len, c))
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some texts, one after the other, and where each begins."""
@@ -214,9 +230,18 @@ class WordEncoder:
         return flat[np.repeat(from_ - ends[:-1], each) + np.arange(ends[-1])], ends[begin]
 
 
-def decode_ids(vocabulary: WordVocabulary, ids) -> str:
-    tokens = vocabulary.tokens
-    return " ".join([tokens[i] for i in ids if i in tokens])
+def decode_lists(vocabulary: WordVocabulary, ids: pa.ListArray) -> pa.Array:
+    """The text of each list of ids."""
+    values, at = ids.values.slice(ids.offsets[0].as_py()), ids.offsets.to_numpy()
+    at = at - at[0]
+    values = values.slice(0, int(at[-1]))
+    known = pc.and_kleene(pc.greater_equal(values, 0), pc.less(values, len(vocabulary.token_column)))
+    tokens = vocabulary.token_column.take(pc.if_else(known, values, None))
+    if tokens.null_count:  # ids that stand for nothing
+        kept = pc.is_valid(tokens).to_numpy(zero_copy_only=False)
+        tokens, at = tokens.drop_null(), np.concatenate([[0], np.cumsum(kept)])[at]
+    lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), tokens, mask=ids.is_null())
+    return pc.binary_join(lists, " ")
 
 
 _loaded: dict = {}
@@ -248,12 +273,8 @@ def encode(text: Column, tokenizer: bytes) -> Column:
 def decode(ids: Column, tokenizer: bytes) -> Column:
     """The text of an array of token ids."""
 
-    def decode_batch(arrays: pa.Array) -> pa.Array:
-        v = vocabulary_of(tokenizer)
-        return pa.array([None if x is None else decode_ids(v, x) for x in arrays.to_pylist()], type=pa.string())
-
     @F.arrow_udf("string")
     def decode_words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return each_batch(decode_batch, batches)
+        return each_batch(lambda ids: decode_lists(vocabulary_of(tokenizer), ids), batches)
 
     return decode_words(ids)

@@ -69,8 +69,23 @@ def test_odd_texts_as_the_library(vocabulary, library):
         got = ids_of(P.WordEncoder(vocabulary), [t])[0]
         e = library.encode(t, add_special_tokens=False)
         assert got == e.ids, t
-        assert P.decode_ids(vocabulary, got) == library.decode(e.ids, skip_special_tokens=False)
-    assert P.decode_ids(vocabulary, [0, 10**6, 49407]) == library.decode([0, 10**6, 49407], skip_special_tokens=False)
+        assert decoded(vocabulary, [got]) == [library.decode(e.ids, skip_special_tokens=False)]
+
+
+def decoded(vocabulary, lists):
+    import pyarrow as pa
+
+    return P.decode_lists(vocabulary, pa.array(lists, pa.list_(pa.int32()))).to_pylist()
+
+
+def test_decoding_of_nulls_and_unknown_ids(vocabulary, library):
+    lists = [None, [], [0, 10**6, 49407], [5], [-1], None, [7, None, 9]]
+    want = [None if x is None else library.decode([i for i in x if i is not None and i >= 0], skip_special_tokens=False) for x in lists]
+    assert decoded(vocabulary, lists) == want
+    import pyarrow as pa
+
+    part = pa.array([[1, 2], *lists], pa.list_(pa.int32())).slice(3, 3)
+    assert P.decode_lists(vocabulary, part).to_pylist() == want[2:5]
 
 
 def test_random_texts_with_a_small_table(vocabulary, library, monkeypatch):

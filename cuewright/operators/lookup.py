@@ -80,20 +80,46 @@ def dispatch(events: DataFrame, macros: DataFrame, tracks: DataFrame, daws: Data
     )
 
 
+def routed(events: DataFrame, macros: DataFrame, tracks: DataFrame, daws: DataFrame, *keep: str) -> DataFrame:
+    """All that events lead to, each row with its route, in one pass: (seq, step, kept columns, route, action_pos, macro_name, daw, track, track_index, address, value, detail).
+
+    A noteon with a macro gives an ``echo`` and, for each action, a ``message``, or a ``track miss`` or an ``unknown
+    target``; or ``malformed`` where the actions do not parse.  One without gives a ``macro miss``, a command without an
+    id an ``invalid payload``.  ``step`` numbers an event's rows from 0.  Events are scanned once, and so is each dimension.
+    """
+    m = macros.select(F.col("id").alias("_id"), F.col("name").alias("macro_name"), "actions_json", F.from_json("actions_json", ACTIONS).alias("_acts"))
+    is_command = F.col("_type") == "cc"
+    met = events.where(F.col("_type").isin("noteon", "cc")).join(m, ~is_command & (F.col("note") == F.col("_id")), "left")
+    fields = "struct<route:string,action_pos:int,daw:string,track:string,command:string,value:double,detail:string>"
+    none = F.lit(None)
+
+    def step(route: str, detail: Column) -> Column:
+        return F.struct(F.lit(route), none, none, none, none, none, detail.cast("string")).cast(fields)
+
+    acts = F.transform("_acts", lambda a, i: F.struct(F.lit("message"), i.cast("int"), a["daw"], a["track"], a["command"], a["value"], none).cast(fields))
+    echo = step("echo", F.col("macro_name"))
+    steps = (
+        F.when(is_command, F.when(~valid_command(F.col("note")), F.array(step("invalid payload", F.col("note")))))
+        .when(F.col("_id").isNull(), F.array(step("macro miss", F.col("note"))))
+        .when(F.col("_acts").isNull(), F.array(echo, step("malformed", F.col("actions_json"))))
+        .otherwise(F.concat(F.array(echo), acts))
+    )
+    each = met.select("seq", *keep, "macro_name", F.posexplode(steps).alias("step", "s")).select("seq", "step", *keep, "macro_name", "s.*")
+    found = each.join(tracks.withColumnRenamed("idx", "track_index"), "track", "left").join(daws.select("daw", F.lit(True).alias("_known")), "daw", "left")
+    action = F.col("route") == "message"
+    lost, strange = action & F.col("track_index").isNull(), action & F.col("_known").isNull()
+    route = F.when(lost, "track miss").when(strange, "unknown target").otherwise(F.col("route"))
+    detail = F.when(lost, F.col("track")).when(strange, F.col("daw")).otherwise(F.col("detail"))
+    sent = action & ~lost & ~strange
+    address = F.when(sent, action_address(F.col("daw"), F.col("track_index"), F.col("command")))
+    value = F.when(sent, first_arg(float_args(F.col("value"))).cast("double"))
+    return found.select("seq", "step", *keep, route.alias("route"), "action_pos", "macro_name", "daw", "track", "track_index", address.alias("address"), value.alias("value"), detail.alias("detail"))
+
+
 def dead_letters(events: DataFrame, macros: DataFrame, tracks: DataFrame, daws: DataFrame) -> DataFrame:
     """(seq, action_pos, reason, detail): noteons without a macro, macros that do not parse, actions whose track or target is unknown, commands without an id."""
-    notes = noteons(events)
-    met = match(notes, macros)
-    found = resolve(actions(met, "seq", "macro_name"), tracks)
-    none = F.lit(None).cast("int").alias("action_pos")
-    row = lambda df, pos, reason, detail: df.select("seq", pos, F.lit(reason).alias("reason"), F.col(detail).cast("string").alias("detail"))
-    return (
-        row(miss(notes, macros), none, "macro miss", "macro_id")
-        .unionByName(row(malformed(met), none, "malformed", "actions_json"))
-        .unionByName(row(found.where("track_index is null"), F.col("action_pos"), "track miss", "track"))
-        .unionByName(row(found.where("track_index is not null").join(daws.select("daw"), "daw", "left_anti"), F.col("action_pos"), "unknown target", "daw"))
-        .unionByName(row(events.where((F.col("_type") == "cc") & ~valid_command(F.col("note"))), none, "invalid payload", "note"))
-    )
+    dead = routed(events, macros, tracks, daws).where(~F.col("route").isin("message", "echo"))
+    return dead.select("seq", "action_pos", F.col("route").alias("reason"), "detail")
 
 
 def reverse_lookup(tracks: DataFrame) -> DataFrame:

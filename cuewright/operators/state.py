@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.idioms import clamp, hash_bucket, truthy_number
 from ..sources.shared_folder import shared_folder
+from .scan import RANGE, Ranges
 
 
 def running_count(df: DataFrame, seq: str, name: str) -> DataFrame:
@@ -39,13 +40,15 @@ def last_by(df: DataFrame, key: list[str], value: str, seq: str) -> DataFrame:
 def selection(clicks: DataFrame, who: str, id: str, seq: str) -> DataFrame:
     """What is selected after each click: a click on the selected id clears it.
 
-    In a run of equal ids odd places select and even ones clear.
+    In a run of equal ids odd places select and even ones clear.  The id before, the place among all clicks
+    and the place of the run's start are prefix folds, so a user of any share is split over ranges.  Null ids are never equal.
     """
-    w = Window.partitionBy(who).orderBy(seq)
-    new = F.coalesce(F.col(id) != F.lag(id).over(w), F.lit(True))
-    runs = clicks.withColumn("_new", new).withColumn("_run", F.sum(F.col("_new").cast("int")).over(w))
-    place = F.row_number().over(Window.partitionBy(who, "_run").orderBy(seq))
-    return runs.withColumn("selected", F.when(place % 2 == 1, F.col(id))).drop("_new", "_run")
+    r = Ranges(clicks, [who], [seq])
+    rows = r.fold(r.rows, "_n", "sum", F.lit(1))
+    rows = r.fold(rows, "_before", "last", F.struct(F.col(id).alias("id")), before_only=True)
+    new = F.coalesce(F.col(id) != F.col("_before.id"), F.lit(True))
+    rows = r.fold(rows, "_start", "max", F.when(new, F.col("_n")))
+    return rows.withColumn("selected", F.when((F.col("_n") - F.col("_start")) % 2 == 0, F.col(id))).drop(RANGE, "_n", "_before", "_start")
 
 
 def now_playing(blocks: Column, active: list[Column], index: Column, is_playing: Column, bpm: Column) -> Column:

@@ -1,10 +1,12 @@
-"""A folder that the driver and all executors see."""
+"""A folder that the driver and all executors see, and this package's code for the executors."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -18,3 +20,17 @@ def shared_folder(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="cuewright-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/{uuid.uuid4().hex}"
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give this package's code to the executors, once for each application; Python workers need it for stateful operators."""
+    context = spark.sparkContext
+    if getattr(context, "_cuewright_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="cuewright-")) / "cuewright.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._cuewright_shipped = True

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import lookup
+from ..operators import lookup, store
 from ..sources import model
 from ..sources.shared_folder import shared_folder
+from . import delivery
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -128,36 +129,27 @@ def subscribe(df: DataFrame, each, state: str, *, mode: str = "append", period:
 
 
 def deliver_stream(spark: SparkSession, paths: list[str], macros: DataFrame, tracks: DataFrame, daws: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Messages delivered once each, to a folder for each target.
-
-    An event that comes again within ``late`` of event time is dropped by its id, so state is bounded; a
-    micro-batch that is run again overwrites its own folder.
-    """
+    """The messages of the events in some folders, delivered once each."""
     at = shared_folder(spark)
     events = event_stream(spark, paths[0])
     for p in paths[1:]:
         events = events.union(event_stream(spark, p))
-    once = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
-
-    def each(batch: DataFrame, epoch: int) -> None:
-        sent = lookup.dispatch(batch.select(*model.event_columns()), macros, tracks, daws)
-        sent.write.mode("overwrite").partitionBy("daw").parquet(f"{at}/out/epoch={epoch}")
-
-    once.writeStream.foreachBatch(each).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.option("basePath", f"{at}/out").parquet(f"{at}/out/*").drop("epoch")
+    delivery.deliver(events, at, macros, tracks, daws, horizon=late)
+    sent = delivery.delivered(spark, at).where("route = 'message'")
+    return sent.select(F.col("seq").alias("event_id"), "action_pos", "macro_name", "daw", "track", "track_index", "address", "value")
 
 
 def dead_letter_stream(spark: SparkSession, path: str, macros: DataFrame, tracks: DataFrame, daws: DataFrame) -> DataFrame:
-    """What the stream could not send: the side output of the micro-batches that write the messages."""
+    """What the stream could not send: micro-batches are routed in one pass and written once, by route."""
     at = shared_folder(spark)
 
     def each(batch: DataFrame, epoch: int) -> None:
-        events = batch.select(*model.event_columns())
-        lookup.dispatch(events, macros, tracks, daws).write.mode("overwrite").parquet(f"{at}/sent/{epoch}")
-        lookup.dead_letters(events, macros, tracks, daws).write.mode("overwrite").parquet(f"{at}/dead/{epoch}")
+        rows = lookup.routed(batch.select(*model.event_columns()), macros, tracks, daws)
+        rows.write.mode("overwrite").partitionBy("route").parquet(f"{at}/out/epoch={epoch}")
 
     event_stream(spark, path).writeStream.foreachBatch(each).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/dead/*")
+    rows = store.open_table(spark, f"{at}/out", "seq bigint, action_pos int, detail string, route string")
+    return rows.where("route not in ('message', 'echo')").select("seq", "action_pos", F.col("route").alias("reason"), "detail")
 
 
 def patch_value():

@@ -80,6 +80,22 @@ def dispatch(events: DataFrame, macros: DataFrame, tracks: DataFrame, daws: Data
     )
 
 
+def versions(changes: DataFrame, key: str, since: str) -> DataFrame:
+    """Changes of a dimension, (key, ..., since), as intervals: each holds from ``since`` until the next of its key."""
+    following = F.lead(since).over(Window.partitionBy(key).orderBy(since))
+    return changes.withColumn("valid_to", following).withColumnRenamed(since, "valid_from")
+
+
+def indexed(acts: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Actions with track_index, null where the track is unknown; tracks kept as ``versions`` give the index that held at the action's ``seq``."""
+    t = tracks.withColumnRenamed("idx", "track_index")
+    if "valid_from" not in tracks.columns:
+        return acts.join(t, "track", "left")
+    t = t.withColumnRenamed("track", "_track")
+    held = (F.col("track") == F.col("_track")) & (F.col("seq") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("seq") < F.col("valid_to")))
+    return acts.join(t, held, "left").drop("_track", "valid_from", "valid_to")
+
+
 def routed(events: DataFrame, macros: DataFrame, tracks: DataFrame, daws: DataFrame, *keep: str) -> DataFrame:
     """All that events lead to, each row with its route, in one pass: (seq, step, kept columns, route, action_pos, macro_name, daw, track, track_index, address, value, detail).
 
@@ -105,7 +121,7 @@ def routed(events: DataFrame, macros: DataFrame, tracks: DataFrame, daws: DataFr
         .otherwise(F.concat(F.array(echo), acts))
     )
     each = met.select("seq", *keep, "macro_name", F.posexplode(steps).alias("step", "s")).select("seq", "step", *keep, "macro_name", "s.*")
-    found = each.join(tracks.withColumnRenamed("idx", "track_index"), "track", "left").join(daws.select("daw", F.lit(True).alias("_known")), "daw", "left")
+    found = indexed(each, tracks).join(daws.select("daw", F.lit(True).alias("_known")), "daw", "left")
     action = F.col("route") == "message"
     lost, strange = action & F.col("track_index").isNull(), action & F.col("_known").isNull()
     route = F.when(lost, "track miss").when(strange, "unknown target").otherwise(F.col("route"))

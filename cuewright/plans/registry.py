@@ -11,10 +11,12 @@ from ..functions import idioms
 from ..operators import blocks as B
 from ..operators import lookup as L
 from ..operators import messages as M
+from ..operators import scan
 from ..operators import state as S
 from ..operators import store
 from ..sources import model as D
 from ..sources.shared_folder import shared_folder
+from ..streaming import beat, delivery
 from ..streaming import pipelines as P
 
 QUERIES: dict = {}
@@ -475,19 +477,137 @@ REFRESHED = f"""with {EV}, {ACT}, h as (select max(event_id) // 2 as h from even
 
 @query(REFRESHED)
 def stream_refreshed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The track list changes between two micro-batches; each uses the list of its time."""
+    """The track list changes while one query runs; every event meets the list of its own time, also those that come after the change."""
     events = D.table(spark, sf_dir, "events")
     half = events.agg(F.floor(F.max("event_id") / 2)).first()[0]
     at = shared_folder(spark)
-    paths = [f"{at}/first", f"{at}/second"]
-    for path, which in zip(paths, (F.col("event_id") <= half, F.col("event_id") > half), strict=True):
-        events.where(which).coalesce(1).write.parquet(path)
-    lists = iter(["ECONOMY,LARGE", "LARGE,SMALL"])
-    for path in paths:  # the same query goes on from its checkpoint over the files that came
-        tracks = next(lists)
-        P.dispatch_refreshed(spark, path, lambda t=tracks: (D.macros(spark, sf_dir), D.track_map(spark, t), D.daws(spark)), lambda df, epoch, to=path: df.write.mode("overwrite").parquet(f"{to}-sent/{epoch}"))
-    sent = spark.read.parquet(*[f"{p}-sent/*" for p in paths])
-    return sent.select("event_id", "action_pos", "daw", "track", "track_index")
+    change = lambda *rows: D.literal(spark, list(rows), P.TRACK_CHANGES).write.mode("append").parquet(f"{at}/tracks")
+    late = F.col("event_id") % 50 == 0
+    change(("ECONOMY", 1, 0), ("LARGE", 2, 0))
+    events.where((F.col("event_id") <= half) & ~late).write.parquet(f"{at}/in/0")
+    running = P.dispatch_versioned(spark, f"{at}/in/*", at, D.macros(spark, sf_dir), D.daws(spark))
+    try:
+        running.processAllAvailable()
+        change(("ECONOMY", None, half + 1), ("LARGE", 1, half + 1), ("SMALL", 2, half + 1))
+        events.where((F.col("event_id") > half) | late).write.parquet(f"{at}/in/1")
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    sent = store.open_table(spark, f"{at}/out", "seq bigint, action_pos int, daw string, track string, track_index int, route string").where("route = 'message'")
+    return sent.select(F.col("seq").alias("event_id"), "action_pos", "daw", "track", "track_index")
+
+
+AS_OF = """with v as (select event_type as kind, event_id as since, user_id % 7 as idx from events where event_id % 11 = 0)
+  select e.event_id, e.event_type, e.user_id, v.since, v.idx from events e asof left join v on v.kind = e.event_type and v.since <= e.event_id"""
+
+
+@query(AS_OF)
+def track_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the version of its kind that held at its time; kinds are few and hot, so ranges split them."""
+    e = D.table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    v = e.where("event_id % 11 = 0").select(F.col("event_type").alias("event_type"), F.col("event_id").alias("since"), (F.col("user_id") % 7).alias("idx"))
+    return scan.as_of(e, v, "event_type", "event_id", "since").select("event_id", "event_type", "user_id", "version.since", "version.idx")
+
+
+BROKEN = "id % 13 = 5"
+ROUTED = f"""{EV}, {ACT}, {TM}, mac as (select p_partkey as id, p_name as name, p_partkey % 13 = 5 as bad from part),
+  js as (select id, '![' || string_agg('{{"daw":"' || daw || '","track":"' || track || '","command":"' || command || '","value":' || cast(value as int) || '}}', ',' order by action_pos) || ']' as t from act group by id),
+  n as (select seq, note, mac.* from ev left join mac on mac.id = note where _type = 'noteon'),
+  x as (select seq, action_pos, n.name, daw, track, command, act.value from n join act on act.id = n.id where not bad),
+  routed as (select seq, 0 as step, 'echo' as route, null::int as action_pos, name as macro_name, null::varchar as daw, null::varchar as track, null::int as track_index, null::varchar as address, null::double as value, name as detail from n where id is not null
+  union all select seq, 1, 'malformed', null, name, null, null, null, null, null, t from n join js using (id) where bad
+  union all select seq, 0, 'macro miss', null, null, null, null, null, null, null, cast(note as varchar) from n where id is null
+  union all select seq, 0, 'invalid payload', null, null, null, null, null, null, null, cast(note as varchar) from ev where _type = 'cc' and coalesce(note, 0) = 0
+  union all select seq, action_pos + 1, case when idx is null then 'track miss' when daw not in ('reaper', 'ableton') then 'unknown target' else 'message' end, action_pos, name, daw, track, idx,
+    case when idx is not null and daw in ('reaper', 'ableton') then {ADDRESS} end, case when idx is not null and daw in ('reaper', 'ableton') then value end, case when idx is null then track when daw not in ('reaper', 'ableton') then daw end from x left join tm using (track))"""
+
+
+def broken_macros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macros of which some hold text that does not parse."""
+    return D.macros(spark, sf_dir).withColumn("actions_json", F.when(F.expr(BROKEN), F.concat(F.lit("!"), "actions_json")).otherwise(F.col("actions_json")))
+
+
+@query(f"with {ROUTED} select * from routed")
+def routed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row that events lead to, with its route: messages, echoes and each kind of dead letter from one scan."""
+    return L.routed(D.device_events(spark, sf_dir), broken_macros(spark, sf_dir), D.track_map(spark), D.daws(spark))
+
+
+#: Four arrivals: the third quarter of the events, the fourth, the first and the second; each but the first with copies of the one before.
+ARRIVALS, HORIZON_DAYS, LANES = [2, 3, 0, 1], 20, 16
+LATE_EVENTS = f"""with {ROUTED}, q as (select event_id, list_position({ARRIVALS}, event_id * 4 // ((select max(event_id) from events) + 1)) - 1 as arrival, epoch_us(ts) as moment from events),
+  came as (select event_id, moment, arrival as batch, arrival from q union all select event_id, moment, arrival + 1, arrival from q where arrival < 3),
+  r as (select routed.*, moment, batch, arrival, case when route = 'message' then daw else route end as target from routed join came on event_id = seq),
+  f as (select *, max(moment) over (partition by target, seq % {LANES} order by batch range between unbounded preceding and 1 preceding) - {HORIZON_DAYS} * 86400000000 as oldest from r),
+  k as (select *, coalesce(moment < oldest, false) as is_late from f),
+  o as (select * from k where is_late or batch = arrival)
+  select seq, step, case when is_late then 'late' else route end as route, case when is_late then route else detail end as detail, daw,
+    case when not is_late and route = 'message' then row_number() over (partition by daw, is_late, route order by batch, seq, step) end as place from o"""
+
+
+@query(LATE_EVENTS)
+def stream_delivery_late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four micro-batches with copies and with events up to a month late: messages once and in order, each with its place for its target, all else named."""
+    at, events = shared_folder(spark), D.table(spark, sf_dir, "events")
+    part = F.floor(F.col("event_id") * 4 / (events.agg(F.max("event_id")).first()[0] + 1))
+    dims = broken_macros(spark, sf_dir), D.track_map(spark), D.daws(spark)
+    for i, q in enumerate(ARRIVALS):
+        events.where(part.isin(ARRIVALS[max(i - 1, 0) : i + 1])).write.parquet(f"{at}/in/{i}")
+        delivery.deliver(P.event_stream(spark, f"{at}/in/*"), at, *dims, horizon=f"{HORIZON_DAYS} days", lanes=LANES)
+    rows = delivery.delivered(spark, at)
+    columns = ["seq", "step", "route", "detail", "daw"]
+    placed = delivery.numbered(rows).select(*columns, "place")
+    return placed.unionByName(rows.where("route <> 'message'").select(*columns, F.lit(None).cast("bigint").alias("place")))
+
+
+@query(f"with s as ({STATUS}) select s.*, true as without_input from s")
+def stream_status_beat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status at the last of several ticks, of which all but the first came without any new event."""
+    at = shared_folder(spark)
+    patches = P.event_stream(spark, f"{sf_dir}/events.parquet").select(F.col("event_type").alias("field"), F.col("event_id").alias("seq"), P.patch_value().alias("value"))
+    running = beat.start(patches, at)
+    try:
+        beat.wait_for_ticks(running, spark, at, 3)
+    finally:
+        beat.stop(running)
+    ticks = beat.ticks(spark, at)
+    whole = ticks.groupBy("tick").agg(F.count("*").alias("n"), F.max("seq").alias("seq")).orderBy(F.desc("tick")).limit(3).collect()
+    last = max(r.tick for r in whole if r.n == max(x.n for x in whole))
+    quiet = len({r.seq for r in whole}) == 1  # no tick saw an event that another one did not
+    return ticks.where(F.col("tick") == last).select("field", "value", F.lit(quiet).alias("without_input"))
+
+
+UNIQUE = f"""with recursive o as (select row_number() over (order by c_custkey) as n, case when c_custkey % 10 <> 0 then c_custkey * 7919 % (select count(*) // 2 from customer) end as id, case when c_custkey % 17 <> 0 then 'k' || (c_custkey * 31 % (select count(*) // 3 from customer)) end as key, 'v' || c_custkey as value from customer),
+  r(n, ids, keys, ok, id, key, value) as (select 0::bigint, [1::bigint, 2, 3, 4], ['reaper_port', 'ableton_port', 'default_bpm', 'track_list'], false, null::bigint, null::varchar, null::varchar
+    union all select o.n, case when t.ok and o.id is not null then list_append(ids, o.id) else ids end, case when t.ok and o.key is not null then list_append(keys, o.key) else keys end, t.ok, o.id, o.key, o.value
+    from r join o on o.n = r.n + 1, lateral (select coalesce(not list_contains(ids, o.id), true) and coalesce(not list_contains(keys, o.key), true) as ok) t)
+  select id, key, value from r where ok union all select id, key, value from {SEED}"""
+
+
+@query(UNIQUE)
+def insert_unique_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings with two unique keys: a row is refused for either, and a refused row holds neither."""
+    c, t = F.col("c_custkey"), D.table(spark, sf_dir, "customer")
+    n = t.count()
+    id = F.when(c % 10 != 0, c * 7919 % (n // 2))
+    key = F.when(c % 17 != 0, F.concat(F.lit("k"), (c * 31 % (n // 3)).cast("string")))
+    new = t.select(id.cast("bigint").alias("id"), key.alias("key"), F.concat(F.lit("v"), c.cast("string")).alias("value"), c.alias("n"))
+    return store.insert_unique(D.seed_settings(spark), new, ["id", "key"], "n")
+
+
+LIFTED = """with recursive o as (select row_number() over (order by p_partkey) as n, p_name as name, case when p_partkey % 97 = 5 then p_partkey * 3 when p_partkey % 10 = 3 then p_partkey // 2 end as given from part),
+  r(n, top, id, name) as (select 0::bigint, 60::bigint, 60::bigint, null::varchar union all select o.n, greatest(top, coalesce(given, top + 1)), coalesce(given, top + 1), o.name from r join o on o.n = r.n + 1)
+  select id, name from (select *, row_number() over (partition by id order by n) as k from r) where k = 1 and n > 0"""
+
+
+@query(LIFTED)
+def explicit_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of which some bring an id: it lifts all later ones, and is refused where it is taken."""
+    k = F.col("p_partkey")
+    given = F.when(k % 97 == 5, k * 3).when(k % 10 == 3, F.floor(k / 2))
+    new = D.table(spark, sf_dir, "part").select(given.cast("bigint").alias("id"), F.col("p_name").alias("name"), k.alias("n"))
+    seed = D.seed_mappings(spark).select("id", F.lit(None).cast("string").alias("name"))
+    return store.insert_with_ids(seed, new, "id", "n").where("name is not null")
 
 
 @query("select event_id, case when event_type = 'purchase' then 'MACRO_PLAY' else 'MACRO' end as command, cast(case when event_type <> 'purchase' then cast(json_extract_string(props, '$.k') as int) end as bigint) as macro_id from events")

@@ -6,26 +6,24 @@ shared folder, and each run takes what is there (``availableNow``).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import lookup, store
+from ..operators.state import running_count
 from ..sources import model
 from ..sources.shared_folder import shared_folder
 from . import delivery
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Events from a folder, or from a single file, which as a pattern of itself is allowed too."""
-    return spark.readStream.schema(EVENTS).parquet(f"{path[:-1]}[{path[-1]}]")
+def event_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """Events from a folder, from a single file, which as a pattern of itself is allowed too, or from a pattern that ends in ``*``; at most ``files`` of them in a micro-batch."""
+    reader = spark.readStream.schema(EVENTS)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(path if path.endswith("*") else f"{path[:-1]}[{path[-1]}]")
 
 
 def run_to_files(df: DataFrame, spark: SparkSession) -> DataFrame:
@@ -41,7 +39,7 @@ def dispatch_stream(spark: SparkSession, path: str, macros: DataFrame, tracks: D
 
 
 def dispatch_refreshed(spark: SparkSession, path: str, dimensions, sink) -> None:
-    """The same, with dimensions read anew for each micro-batch: ``dimensions()`` gives macros, tracks and targets; ``sink(df, epoch)`` stores."""
+    """The same, with dimensions read anew for each micro-batch: ``dimensions()`` gives macros, tracks and targets; ``sink(df, epoch)`` stores.  Each call is a query of its own."""
 
     def each(batch: DataFrame, epoch: int) -> None:
         sink(lookup.dispatch(batch.select(*model.event_columns()), *dimensions()), epoch)
@@ -50,34 +48,43 @@ def dispatch_refreshed(spark: SparkSession, path: str, dimensions, sink) -> None
     event_stream(spark, path).writeStream.foreachBatch(each).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
 
 
-class Toggle(StatefulProcessor):
-    """Flips a stored flag for each row, in order of seq."""
+TRACK_CHANGES = "track string, idx int, since bigint"
+
+
+def dispatch_versioned(spark: SparkSession, path: str, at: str, macros: DataFrame, daws: DataFrame):
+    """The running query that sends events by the track list of their own time, into ``{at}/out``, from one checkpoint.
+
+    Changes of the list (``TRACK_CHANGES``; a null index takes a track away) may be appended to ``{at}/tracks`` while it runs.
+    Each micro-batch reads them anew as intervals, so an event that comes late still meets the list that held when it happened.
+    """
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        tracks = lookup.versions(store.open_table(spark, f"{at}/tracks", TRACK_CHANGES), "track", "since")
+        rows = lookup.routed(batch.select(*model.event_columns()), macros, tracks, daws)
+        rows.write.mode("overwrite").partitionBy("route").parquet(f"{at}/out/epoch={epoch}")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.flag = handle.getValueState("flag", "value boolean")
+    return event_stream(spark, path).writeStream.foreachBatch(each).option("checkpointLocation", f"{at}/state").trigger(processingTime="200 milliseconds").start()
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seq = pd.concat([r["seq"] for r in rows]).sort_values().reset_index(drop=True)
-        now = bool(self.flag.get()[0]) if self.flag.exists() else False
-        out = [now ^ (i % 2 == 0) for i in range(len(seq))]
-        if len(out):
-            self.flag.update((bool(out[-1]),))
-        yield pd.DataFrame({"event_id": seq, "is_playing": out})
 
-    def close(self) -> None:
-        pass
+def toggle_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """The transport's state after each toggle command.
 
+    The flag is one for the whole stream, so it is the parity of a count.  A micro-batch is counted over ranges, as the batch
+    twin does, on top of the count that the epoch before has left; no task holds a whole batch.  A micro-batch
+    that is run again finds the same count and overwrites its own folders.
+    """
+    at = shared_folder(spark)
+    commands = event_stream(spark, path, files).where("event_type = 'purchase'").select("event_id")
 
-def toggle_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The transport's state after each toggle command.  The flag is one for the whole stream, so its rows meet in one task by nature."""
-    commands = event_stream(spark, path).where("event_type = 'purchase'").select(F.lit("transport").alias("key"), F.col("event_id").alias("seq"))
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
-    try:
-        out = commands.groupBy("key").transformWithStateInPandas(Toggle(), outputStructType="event_id bigint, is_playing boolean", outputMode="Append", timeMode="None")
-        return run_to_files(out, spark)
-    finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+    def each(batch: DataFrame, epoch: int) -> None:
+        done = store.open_table(spark, f"{at}/counts", "n bigint, epoch bigint").where(F.col("epoch") < epoch).agg(F.max_by("n", "epoch")).first()[0] or 0
+        numbered = running_count(batch, "event_id", "n").withColumn("n", F.col("n") + F.lit(done))
+        numbered.select("event_id", (F.col("n") % 2 == 1).alias("is_playing"), "n").write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
+        now = spark.read.schema("n bigint").parquet(f"{at}/out/epoch={epoch}")
+        now.agg(F.coalesce(F.max("n"), F.lit(done)).alias("n")).write.mode("overwrite").parquet(f"{at}/counts/epoch={epoch}")
+
+    commands.writeStream.foreachBatch(each).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return store.open_table(spark, f"{at}/out", "event_id bigint, is_playing boolean, epoch bigint").select("event_id", "is_playing")
 
 
 def status_stream(spark: SparkSession, path: str) -> DataFrame:

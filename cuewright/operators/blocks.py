@@ -13,10 +13,11 @@ from ..functions.idioms import absent_default, bar_width, nullish, to_number, tr
 from ..sources.model import CELLS
 
 
-def placeholders(spark, n: int = CELLS) -> DataFrame:
-    """n idle blocks, named from 1."""
-    i = (F.col("id") + 1).cast("int")
-    return spark.range(n).select(i.cast("int").alias("i"), F.concat(F.lit("ph-"), i.cast("string")).alias("block_id"), F.concat(F.lit("Block "), i.cast("string")).alias("name"), F.lit("idle").alias("state"))
+def placeholders(arrangements: DataFrame, key: str, n: int = CELLS) -> DataFrame:
+    """n idle blocks, named from 1, for each arrangement."""
+    each = arrangements.select(key, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
+    number = F.col("i").cast("string")
+    return each.select(key, "i", F.concat(F.lit("ph-"), number).alias("block_id"), F.concat(F.lit("Block "), number).alias("name"), F.lit("idle").alias("state"))
 
 
 def pad(arrangements: DataFrame, blocks: DataFrame, key: str, cells: int = CELLS) -> DataFrame:

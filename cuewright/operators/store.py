@@ -92,8 +92,9 @@ def snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def create_table(spark: SparkSession, name: str, schema: str) -> None:
-    spark.sql(f"create table if not exists {name} ({schema}) using parquet")
+def create_table(spark: SparkSession, name: str, schema: str, path: str | None = None) -> None:
+    """Create a table where none of that name is; kept at a path, or in the warehouse."""
+    spark.sql(f"create table if not exists {name} ({schema}) using parquet" + (f" location '{path}'" if path else ""))
 
 
 def send(commands: DataFrame, path: str) -> bool:

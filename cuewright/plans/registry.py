@@ -11,7 +11,7 @@ from ..functions import idioms
 from ..operators import blocks as B
 from ..operators import lookup as L
 from ..operators import messages as M
-from ..operators import scan
+from ..operators import scan, shuffle
 from ..operators import state as S
 from ..operators import store
 from ..sources import model as D
@@ -57,9 +57,19 @@ SEED = "(values (1::bigint, 'reaper_port', '9000'), (2, 'ableton_port', '9001'),
 # --- sources
 
 
-@query(f"select key, value from {SEED}")
+SETTINGS = f"st as (select key, value from {SEED} union all select 'user' || user_id, 'v' || max(event_id) from events group by user_id)"
+
+
+def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seed settings and one for each user, of its last event."""
+    last = D.table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("n"))
+    own = last.select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("key"), F.concat(F.lit("v"), F.col("n").cast("string")).alias("value"))
+    return D.seed_settings(spark).select("key", "value").unionByName(own)
+
+
+@query(f"with {SETTINGS} select key, value from st")
 def settings_scan_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.seed_settings(spark).select("key", "value")
+    return settings(spark, sf_dir)
 
 
 @query(f"""with {BL} select arrangement as id, 'Order ' || arrangement as name,
@@ -73,9 +83,12 @@ def macro_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.point(D.macros(spark, sf_dir), "id", D.SEED_MACRO).select("name", "actions_json")
 
 
-@query(f"select value from {SEED} where key = 'track_list'")
+@query(f"with {SETTINGS} select key, value from st where key in ('track_list', 'user7')")
 def setting_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql("select value from {t} where key = :key", t=D.seed_settings(spark), args={"key": "track_list"})
+    """Two settings by their keys, one of the seed and one of a user, given as parameters."""
+    t = settings(spark, sf_dir)
+    one = lambda key: spark.sql("select key, value from {t} where key = :key", t=t, args={"key": key})
+    return one("track_list").unionByName(one("user7"))
 
 
 @query(f"with {EV} select seq, _type, channel, note, velocity, controller, value from ev")
@@ -241,9 +254,12 @@ def auto_increment_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.with_ids(D.seed_mappings(spark), new, "id", "p_partkey").select("id", "name")
 
 
-@query("select id, key, value from " + SEED)
+@query("select c_custkey as id, c_name as key, c_mktsegment as value from customer")
 def seed_if_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is not there yet is seeded from customers; once it has rows, another seed changes nothing."""
     at = f"{shared_folder(spark)}/settings"
+    customers = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("id"), F.col("c_name").alias("key"), F.col("c_mktsegment").alias("value"))
+    store.snapshot(store.seed_if_empty(store.open_table(spark, at, D.SETTINGS), customers), at)
     return store.seed_if_empty(store.open_table(spark, at, D.SETTINGS), D.seed_settings(spark))
 
 
@@ -271,9 +287,9 @@ def selection_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- blocks
 
 
-@query("select cast(i as int) as i, 'ph-' || i as block_id, 'Block ' || i as name, 'idle' as state from range(1, 13) r(i)")
+@query("select o_orderkey as arrangement, cast(i as int) as i, 'ph-' || i as block_id, 'Block ' || i as name, 'idle' as state from orders, range(1, 13) r(i)")
 def placeholder_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.placeholders(spark)
+    return B.placeholders(D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("arrangement")), "arrangement")
 
 
 @query(f"with {BL} select o_orderkey as arrangement, cast(c as int) as pos, id, length from orders cross join range(12) r(c) left join bl on arrangement = o_orderkey and pos = c")
@@ -423,9 +439,26 @@ def module_chunk_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "pages").select("page_id", idioms.module_chunk(p).alias("chunk"))
 
 
-@query("select p_name as track, p_size as idx from part")
+def shuffled_sql(rows: str, order: str, seed: int, epoch: int) -> str:
+    """The seeded order in SQL, round by round."""
+    k, m = shuffle.HALF, shuffle.MASK
+    sql = f"select *, x >> {k} as l, x & {m} as r from (select *, row_number() over (order by {order}) - 1 as x from ({rows}))"
+    for key in shuffle.round_keys(seed, epoch):
+        sql = f"select * replace (r as l, xor(l, ((r * {shuffle.FACTOR} + {key}) >> 13) & {m}) as r) from ({sql})"
+    return f"select * exclude (x, l, r), row_number() over (order by l * {1 << k} + r) - 1 as place from ({sql})"
+
+
+TRACKS = "select p_partkey as id, p_name as track, p_size as idx from part"
+
+
+def all_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("track"), F.col("p_size").alias("idx"))
+
+
+@query(shuffled_sql(TRACKS, "id", 7, 0))
 def track_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.table(spark, sf_dir, "part").select(F.col("p_name").alias("track"), F.col("p_size").alias("idx")).orderBy(F.rand(7))
+    """The tracks in the order of a seed, the same at any number of partitions."""
+    return shuffle.shuffled(all_tracks(spark, sf_dir), ["id"], 7)
 
 
 # --- streams, and tables on disk
@@ -621,12 +654,28 @@ def command_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.open_table(spark, log, "event_id bigint, command string, macro_id bigint")
 
 
-@query(f"select key, value from {SEED}")
+@query("select c_name as key, c_mktsegment as value from customer")
 def create_if_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table created twice and filled once."""
-    name = f"settings_{uuid.uuid4().hex}"
+    """A table created twice and filled once, from customers."""
+    name, at = f"settings_{uuid.uuid4().hex}", shared_folder(spark)
     for _ in range(2):
-        store.create_table(spark, name, D.SETTINGS)
-    D.seed_settings(spark).write.insertInto(name)
-    store.create_table(spark, name, D.SETTINGS)
+        store.create_table(spark, name, D.SETTINGS, at)
+    D.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint"), "c_name", "c_mktsegment").write.insertInto(name)
+    store.create_table(spark, name, D.SETTINGS, at)
     return spark.table(name).select("key", "value")
+
+
+SHUFFLES = " union all ".join(f"select {e} as epoch, * from ({shuffled_sql(TRACKS, 'id', 7, e)})" for e in range(2))
+
+
+@query(SHUFFLES)
+def stream_track_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ticks of the shuffle, each with an order of its own."""
+    at = shared_folder(spark)
+    running = P.shuffle_stream(all_tracks(spark, sf_dir), ["id"], at, 7)
+    schema = "id bigint, track string, idx int, place bigint, epoch bigint"
+    try:
+        beat.wait_for(running, lambda: running.lastProgress is not None and running.lastProgress["batchId"] >= 1)
+    finally:
+        beat.stop(running)
+    return store.open_table(spark, f"{at}/out", schema).where("epoch < 2")

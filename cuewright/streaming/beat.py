@@ -117,12 +117,17 @@ def stop(query, seconds: float = 20) -> None:
     query.stop()
 
 
-def wait_for_ticks(query, spark: SparkSession, at: str, n: int, seconds: float = 120) -> None:
-    """Until n ticks are written; an error if the query fails or takes too long."""
+def wait_for(query, done, seconds: float = 120) -> None:
+    """Until ``done()``; an error if the query fails or takes too long."""
     until = time.monotonic() + seconds
-    while ticks(spark, at).select("tick").distinct().count() < n:
+    while not done():
         if (failed := query.exception()) is not None:
             raise failed
         if time.monotonic() > until:
-            raise TimeoutError(f"no {n} ticks in {seconds} s")
+            raise TimeoutError(f"not done in {seconds} s")
         time.sleep(0.2)
+
+
+def wait_for_ticks(query, spark: SparkSession, at: str, n: int, seconds: float = 120) -> None:
+    """Until n ticks are written."""
+    wait_for(query, lambda: ticks(spark, at).select("tick").distinct().count() >= n, seconds)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lookup, store
+from ..operators.shuffle import shuffled
 from ..operators.state import running_count
 from ..sources import model
 from ..sources.shared_folder import shared_folder
@@ -159,6 +160,17 @@ def dead_letter_stream(spark: SparkSession, path: str, macros: DataFrame, tracks
     return rows.where("route not in ('message', 'echo')").select("seq", "action_pos", F.col("route").alias("reason"), "detail")
 
 
+def shuffle_stream(tracks: DataFrame, order: list[str], at: str, seed: int, period: str = "5 seconds"):
+    """The running query that writes the tracks in a new order at each tick, under the tick's epoch.  Ticks need no input; an epoch that is run again gives the same order."""
+    spark = tracks.sparkSession
+
+    def each(_: DataFrame, epoch: int) -> None:
+        shuffled(tracks, order, seed, epoch).write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(each).option("checkpointLocation", f"{at}/state").trigger(processingTime=period).start()
+
+
 def patch_value():
     """A status patch's value; some patches set null."""
     return F.when(F.col("event_id") % 10 != 0, F.col("value"))

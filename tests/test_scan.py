@@ -85,3 +85,19 @@ def test_as_of_a_hot_key(spark, ranges):
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert S.selection(none, "user", "id", "seq").collect() == []
+
+
+def test_a_seeded_order_at_any_partition_count(spark, ranges):
+    from cuewright.operators.shuffle import permuted, shuffled
+
+    df = spark.range(500)
+    orders = []
+    for parts in (1, 3):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts + 1))
+        orders.append({r.id: r.place for r in shuffled(df.repartition(parts), ["id"], 5, 2).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert orders[0] == orders[1] and sorted(orders[0].values()) == list(range(500)) and orders[0] != {i: i for i in range(500)}
+    other = {r.id: r.place for r in shuffled(df, ["id"], 5, 3).collect()}
+    assert other != orders[0]
+    wide = spark.range(2**48 - 2000, 2**48).select(permuted(F.col("id"), 1, 0).alias("k"))
+    assert wide.distinct().count() == 2000 and wide.agg(F.max("k")).first()[0] < 2**48

@@ -109,21 +109,23 @@ def contents(docs: DataFrame, bench: DataFrame, scratch: Scratch, *, id: str, te
     base = scratch.save(base.select("id", "k1", "k2", "x.n_words", "x.prints"))
     hashes = scratch.save(prints.select("h").distinct())
     hits = base.select("k1", "k2", F.explode("prints").alias("h")).join(small_side(scratch, hashes), "h", "left_semi").distinct()
-    hits = scratch.save(hits.groupBy("k1", "k2").agg(F.collect_set("h").alias("hs")))
+    hits = scratch.save(hits.select("k1", "k2").distinct())
 
     found = docs.select(*content(F.col(text)), F.col(text).alias("t")).join(small_side(scratch, hits), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    found = found.select("k1", "k2", words(F.col("t")).alias("w"), "hs")
-    # Places of hits, from 0, and the starts of the windows that have them inside.
-    hit_at = lambda g: F.filter(F.transform(g, lambda h, i: F.when(F.array_contains("hs", h), i)), lambda i: i.isNotNull())
-    inside = F.array_distinct(F.flatten(F.transform(hit_at(gram_hashes(F.col("w"))), lambda p: F.sequence(F.greatest(p - (PER_WINDOW - 1), F.lit(0)), F.least(p, F.size("w") - WINDOW)))))
-    at = found.select("k1", "k2", F.explode(F.transform(inside, lambda s: F.struct(s.alias("s"), F.lit(WINDOW).alias("n"), joined(F.slice("w", s + 1, WINDOW)).alias("window")))).alias("y"))
+    found = scratch.save(found.select("k1", "k2", words(F.col("t")).alias("w")))
+    size = F.size("w").alias("size")
+    # Places of hits, from 0, found by a join and not by scanning a text's hits; then the starts of the windows that have them inside.
+    grams = found.select("k1", "k2", size, F.posexplode(gram_hashes(F.col("w"))).alias("p", "h")).join(small_side(scratch, hashes), "h", "left_semi")
+    starts = F.sequence(F.greatest(F.col("p") - (PER_WINDOW - 1), F.lit(0)), F.least(F.col("p"), F.col("size") - WINDOW))
+    places = grams.where(F.col("size") >= WINDOW).select("k1", "k2", F.explode(starts).alias("s"), F.lit(WINDOW).alias("n"))
     if short:
-        one = F.filter(F.transform(word_hashes(F.col("w")), lambda h, i: F.struct(h.alias("h"), i.alias("p"))), lambda y: F.array_contains("hs", y["h"]))
-        near = F.transform(one, lambda y: F.struct(y["h"].alias("h"), y["p"].alias("p"), F.greatest(y["p"] - (WINDOW - 2), F.lit(0)).alias("from"), F.slice("w", F.greatest(y["p"] - (WINDOW - 3), F.lit(1)), 2 * WINDOW - 3).alias("near")))
-        places = found.select("k1", "k2", F.explode(near).alias("y")).select("k1", "k2", "y.*").join(prints.where("n is not null"), "h")
-        start = F.col("p") - F.col("q")
-        whole = places.where(start >= 0).select("k1", "k2", F.struct(start.alias("s"), F.col("n"), joined(F.slice("near", F.greatest(start - F.col("from") + 1, F.lit(1)), F.col("n"))).alias("window")).alias("y"))
-        at = at.unionByName(whole)
+        least = small_side(scratch, scratch.save(prints.where("n is not null")))
+        one = found.select("k1", "k2", size, F.posexplode(word_hashes(F.col("w"))).alias("p", "h")).join(least, "h")
+        one = one.select("k1", "k2", (F.col("p") - F.col("q")).alias("s"), "n", "size").where((F.col("s") >= 0) & (F.col("s") + F.col("n") <= F.col("size")))
+        places = places.unionByName(one.select("k1", "k2", "s", "n"))
+    places = places.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "n")).alias("places"))
+    window = lambda y: F.struct(y["s"].alias("s"), y["n"].alias("n"), joined(F.slice("w", y["s"] + 1, y["n"])).alias("window"))
+    at = found.join(places, ["k1", "k2"]).select("k1", "k2", F.explode(F.transform("places", window)).alias("y"))
     known = scratch.save(windows.select("window").distinct())
     at = scratch.save(at.select("k1", "k2", "y.*").join(small_side(scratch, known), "window", "left_semi"))
     covered = F.expr("aggregate(array_sort(spans), named_struct('n', 0L, 'e', 0), (a, x) -> named_struct('n', a.n + greatest(x.e - greatest(x.s, a.e), 0), 'e', greatest(a.e, x.e))).n")

@@ -160,3 +160,11 @@ def test_passages_with_repeated_rows_and_variants(spark, scratch):
     found = suffix_dedup.spans_by_document(frame(spark, rows), scratch).collect()
     got = {r.doc_id: (set(x for s in r.repeated for x in range(s.s, s.e)), set(x for s in r.removed for x in range(s.s, s.e))) for r in found}
     assert got == repeated(rows)
+
+
+def test_a_long_text_that_is_an_item(spark, scratch):
+    """Every place of the text is a hit; places are found by a join, so this is no scan of hits for each place."""
+    text = " ".join(f"w{i * 7919 % 100_003}" for i in range(40_000))
+    docs, bench = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(5, text), (6, "w0 w7919")], "item_id long, text string")
+    (row,) = decontaminate.contamination(docs, bench, scratch).collect()
+    assert (row.n_words, row.n_hit, row.n_items, row.contaminated) == (40_000, 40_000, 2, True)

@@ -11,10 +11,11 @@ Scale.  Documents with equal sets form one class before anything else (one
 partial aggregation), so exact copies never meet in pairs.  In a bucket each
 class is compared with a few heads (least by three fixed orders), which links
 nearly all of a large group with work linear in its size.  Buckets whose
-classes are still in different components afterwards are compared by matrix products of the full sets
-within blocks of bounded size, where only links between components come out, never pairs; a bucket of
+classes are still in different components afterwards are compared within blocks of bounded size: packed
+signatures first, which leave the members that have a partner in another component that passes the screen, then
+matrix products of the full sets of these, where only links between components come out, never pairs.  A bucket of
 more than one block is first split by the rarest shingles of its sets, which parts texts that
-share only what is frequent and loses no link.
+share only what is frequent and loses no link; buckets of the same members are one.
 Connectivity, and so every result column, is at least that of all pairs of each bucket, of confirmed links only.
 
 Defined results: null or wordless text has an empty set and is linked with
@@ -42,6 +43,8 @@ LANES = HASHES * BITS // 64
 #: Most rows, and about most shingles, of a block of a bucket.
 BLOCK = 512
 BLOCK_SHINGLES = 400_000
+#: Most rows of a block of packed signatures, which take 64 bytes each, and of a tile of it that is compared at a time.
+SCREEN_BLOCK, TILE = 4096, 512
 #: Shingles in more than one of so many places are broadcast when members of large buckets are ranked; there are at most so many.
 TOP = 4096
 #: The screen is so many standard deviations of the estimate below the threshold (0.631 for 0.80, 0.699 for 0.85).
@@ -222,6 +225,34 @@ def block_links(rep: np.ndarray, comp: np.ndarray, second: np.ndarray, sets: lis
     return pairs[:, 0], pairs[:, 1]
 
 
+def hopeful(comp: np.ndarray, second: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of one or two blocks (second: of which) have a partner of another component that the screen and the set sizes allow."""
+    most = int(HASHES * (1 - (2.0**-BITS + (1 - 2.0**-BITS) * screen(percent))) + 1e-9)  # lanes that may differ
+    ones = np.uint64(int("1" * (64 // BITS), 16))
+    able = np.zeros(len(n), dtype=bool)
+    two = second.any() and not second.all()
+    one, other = (np.flatnonzero(~second), np.flatnonzero(second)) if two else (np.arange(len(n)),) * 2
+    one, other = (x[np.argsort(n[x], kind="stable")] for x in (one, other))
+    for i in range(0, len(one), TILE):
+        a = one[i : i + TILE]
+        # Rows are in order of size: only those that are near enough in size are met.
+        lo = np.searchsorted(n[other], -(-percent * n[a[0]] // 100)) if two else i
+        hi = np.searchsorted(n[other], 100 * n[a[-1]] // percent, side="right")
+        for j in range(lo, hi, TILE):
+            b = other[j : min(j + TILE, hi)]
+            apart = np.zeros((len(a), len(b)), dtype=np.uint16)
+            for k in range(LANES):
+                d = sig[a, k][:, None] ^ sig[b, k][None, :]
+                d |= d >> np.uint64(2)
+                d |= d >> np.uint64(1)
+                apart += np.bitwise_count(d & ones)
+            x, y = n[a][:, None], n[b][None, :]
+            ok = (apart <= most) & (comp[a][:, None] != comp[b][None, :]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+            able[a] |= ok.any(axis=1)
+            able[b] |= ok.any(axis=0)
+    return able
+
+
 def rarest(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Smaller buckets (key, rep, tk, n, comp, m, all) for the members (rep, tk, n, comp) of large ones, by their rarest shingles.
 
@@ -239,16 +270,29 @@ def rarest(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int)
     ranked = known.groupBy("rep", "tk", "n", "comp").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), F.col("x")))).alias("o"))
     first = F.slice("o", F.lit(1), F.expr(f"cast(n - ({percent} * n + 99) div 100 + 1 as int)"))
     rows = scratch.save(ranked.select("rep", "tk", "n", "comp", F.explode(F.filter(first, lambda e: e["c"] > 0)["x"]).alias("key")))
-    apart = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("all")).where("lo <> hi").select("key", "m", "all")
-    return scratch.save(rows.join(small_side(scratch, scratch.save(apart)), "key").select("key", "rep", "tk", "n", "comp", "m", "all"))
+    return scratch.save(rows.join(small_side(scratch, scratch.save(apart(rows))), "key").select("key", "rep", "tk", "n", "comp", "m", "all"))
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """(key, m, all) of the buckets of rows (key, rep, tk, n, comp) whose members are in several components, one of those with the same members."""
+    mark = lambda k: F.bit_xor(F.xxhash64(F.lit(k), "rep", "tk"))
+    each = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("all"), mark(1).alias("x"), mark(2).alias("y"))
+    return each.where("lo <> hi").groupBy("x", "y", "m", "all").agg(F.min("key").alias("key")).select("key", "m", "all")
+
 
+def in_blocks(rows: DataFrame, blocks_of: Column) -> DataFrame:
+    """Each row of a bucket for each pair of blocks (bi, bj) that its own block, blk, is one of; rows are dealt to the bucket's blocks by hash."""
+    cut = rows.withColumn("nb", blocks_of.cast("int")).withColumn("blk", F.pmod(F.xxhash64("rep", "tk", F.lit(5)), F.col("nb")).cast("int"))
+    return cut.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other")).drop("nb", "other")
 
-def connect(scratch: Scratch, rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+
+def connect(scratch: Scratch, rows: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components for buckets (key, rep, tk, n, comp, m, all) whose members are in several.
 
     Members of buckets of more than one block meet by their rarest shingles instead.  A bucket is cut into
-    blocks of bounded rows and shingles, and each two blocks (and each with itself) are one group; only links
-    between components leave it.
+    blocks of bounded rows, and each two blocks (and each with itself) are one group.  Packed signatures
+    are compared first; rows that have a partner there go on to blocks of bounded rows and shingles, where the full sets
+    are compared.  Only links between components leave these, and no pairs leave either.
     """
 
     def sets_of(column: pa.Array) -> pa.Array:
@@ -259,26 +303,46 @@ def connect(scratch: Scratch, rows: DataFrame, texts: DataFrame, percent: int) -
     def shingle_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return each_batch(sets_of, batches)
 
-    def links(table: pa.Table) -> pa.Table:
+    def once(table: pa.Table) -> np.ndarray:
         # A block meets itself once: each text of it once.
         both = np.stack([table.column(c).to_numpy() for c in ("rep", "tk")], axis=1)
-        at = np.unique(both, axis=0, return_index=True)[1]
-        rep = both[at, 0]
-        blk, bi = table.column("blk").to_numpy()[at], table.column("bi").to_numpy()[at]
+        return np.unique(both, axis=0, return_index=True)[1]
+
+    def screened(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(once(table)))
+        second = table.column("blk").to_numpy() != table.column("bi").to_numpy()
+        sig = table.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LANES)
+        able = hopeful(table.column("comp").to_numpy(), second, table.column("n").to_numpy(), sig, percent)
+        return table.select(["key", "rep", "tk", "n", "comp"]).filter(pa.array(able))
+
+    def links(table: pa.Table) -> pa.Table:
+        at = once(table)
+        rep, blk, bi = (table.column(c).to_numpy()[at] for c in ("rep", "blk", "bi"))
         column = table.column("s")
         sets = [column[int(i)].values.to_numpy().view(np.uint64) for i in at]
         a, b = block_links(rep, table.column("comp").to_numpy()[at], blk != bi, sets, percent)
         return pa.table({"a": a, "b": b})
 
-    ids = scratch.save(rows.select("rep", "tk").distinct())
-    sets = scratch.save(texts.join(small_side(scratch, ids), (F.col("_id") == F.col("rep")) & (F.col("_tk") == F.col("tk"))).select("rep", "tk", shingle_set("_text").alias("s")))
-    blocks_of = F.greatest(F.expr(f"(m + {BLOCK} - 1) div {BLOCK}"), F.expr(f"(all + {BLOCK_SHINGLES} - 1) div {BLOCK_SHINGLES}")).cast("int")
+    def sets_for(ids: DataFrame) -> DataFrame:
+        held = texts.join(small_side(scratch, ids), (F.col("_id") == F.col("rep")) & (F.col("_tk") == F.col("tk")))
+        return scratch.save(held.select("rep", "tk", shingle_set("_text").alias("s")))
+
+    several = lambda c, size: F.expr(f"({c} + {size} - 1) div {size}")
+    blocks_of = F.greatest(several("m", BLOCK), several("all", BLOCK_SHINGLES))
     large = scratch.save(rows.where(blocks_of > 1).select("rep", "tk", "n", "comp").distinct())
     if not large.isEmpty():
-        rows = rows.where(blocks_of == 1).unionByName(rarest(scratch, large, sets, percent))
-    cut = rows.select("key", "rep", "tk", "comp", blocks_of.alias("nb")).withColumn("blk", F.pmod(F.xxhash64("rep", "tk", F.lit(5)), F.col("nb")).cast("int"))
-    meet = cut.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).select("key", "rep", "tk", "comp", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
-    met = meet.join(sets, ["rep", "tk"]).groupBy("key", "bi", "bj").applyInArrow(links, "a bigint, b bigint")
+        ids = scratch.save(large.select("rep", "tk").distinct())
+        rows = rows.where(blocks_of == 1).unionByName(rarest(scratch, large, sets_for(ids), percent))
+    members = scratch.save(rows.select("rep", "tk").distinct())
+    sigs = scratch.save(classes.join(small_side(scratch, members), ["rep", "tk"]).select("rep", "tk", "sig"))
+    meet = in_blocks(rows.select("key", "rep", "tk", "n", "comp", "m"), several("m", SCREEN_BLOCK)).drop("m")
+    able = meet.join(sigs, ["rep", "tk"]).groupBy("key", "bi", "bj").applyInArrow(screened, "key bigint, rep bigint, tk bigint, n bigint, comp bigint")
+    able = scratch.save(able.distinct())
+    left = apart(able)
+    left = scratch.save(able.join(small_side(scratch, scratch.save(left)), "key"))
+    ids = scratch.save(left.select("rep", "tk").distinct())
+    meet = in_blocks(left.select("key", "rep", "tk", "comp", "m", "all"), blocks_of).drop("m", "all")
+    met = meet.join(sets_for(ids), ["rep", "tk"]).groupBy("key", "bi", "bj").applyInArrow(links, "a bigint, b bigint")
     return scratch.save(met.distinct())
 
 
@@ -314,9 +378,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", te
     # Buckets of three or more whose members are not yet all connected.
     at = members.where("m > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(classes.select("rep", "tk", "n"), ["rep", "tk"])
     at = scratch.save(at.select("key", "rep", "tk", "n", F.coalesce("comp", "rep").alias("comp")))
-    apart = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("all")).where("lo <> hi").select("key", "m", "all")
-    apart = scratch.save(apart)
-    more = connect(scratch, scratch.save(at.join(small_side(scratch, apart), "key")), texts, percent)
+    more = connect(scratch, scratch.save(at.join(small_side(scratch, scratch.save(apart(at))), "key")), classes, texts, percent)
     if not more.isEmpty():
         top = components(scratch, more)
         moved = comp.join(top.select(F.col("node").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))

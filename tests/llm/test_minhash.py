@@ -156,3 +156,46 @@ def test_screen_is_four_deviations_below_the_threshold():
         agree = 1 / 16 + 15 / 16 * percent / 100
         assert percent / 100 - M.screen(percent) >= 4 * (agree * (1 - agree) / 128) ** 0.5 * 16 / 15
     assert M.screen(85) <= 0.70
+
+
+def test_hopeful_rows_have_a_partner_that_the_screen_allows(monkeypatch):
+    monkeypatch.setattr(M, "TILE", 7)
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 1 << 63, (3, M.LANES), dtype=np.uint64)
+    sig, n = base[rnd.integers(0, 3, 60)], rnd.integers(80, 130, 60)
+    for i in range(60):  # some lanes of each differ
+        for lane in rnd.choice(M.HASHES, rnd.integers(0, 50), replace=False):
+            sig[i, lane // 16] ^= np.uint64(int(rnd.integers(1, 16)) << (4 * int(lane % 16)))
+    comp = rnd.integers(0, 20, 60)
+
+    def near(i, j):
+        same = sum((int(a) >> 4 * k) & 15 == (int(b) >> 4 * k) & 15 for a, b in zip(sig[i], sig[j], strict=True) for k in range(16)) / M.HASHES
+        return comp[i] != comp[j] and (same - 1 / 16) / (15 / 16) >= M.screen(85) and 100 * min(n[i], n[j]) >= 85 * max(n[i], n[j])
+
+    for second in (np.zeros(60, dtype=bool), np.arange(60) % 2 == 1):
+        want = [any(near(i, j) for j in range(60) if not second.any() or second[i] != second[j]) for i in range(60)]
+        assert M.hopeful(comp, second, n, sig, 85).tolist() == want and 5 < sum(want) < 55
+
+
+def test_templated_texts_send_few_sets(spark, scratch, monkeypatch):
+    """Pages of shared paragraphs, none linked, end at the screen; near copies among them are found."""
+    monkeypatch.setattr(M, "BLOCK", 64)
+    held, inner = [], M.in_blocks
+
+    def seen(rows, blocks_of):
+        held.append(rows)
+        return inner(rows, blocks_of)
+
+    monkeypatch.setattr(M, "in_blocks", seen)
+    rnd = random.Random(1)
+    paragraphs = [words(rnd, 40, 10**6) for _ in range(12)]
+    rows = []
+    for i in range(300):
+        shared = [w for p in rnd.sample(paragraphs, 5) for w in p]
+        rows.append((i, " ".join([*shared, *words(rnd, 60, 10**7)]), "en", "s", 0))
+        if i % 50 == 0:
+            rows.append((1000 + i, rows[-1][1] + " more", "en", "s", 0))
+    comp = check(spark, scratch, rows)
+    assert len(set(comp.values())) == 300
+    met, full = held[0].count(), held[1].count()
+    assert met > 300 and 10 * full < met

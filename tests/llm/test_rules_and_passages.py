@@ -35,6 +35,37 @@ def test_rules_reject_what_stands_out(spark, scratch):
     assert Q.score(empty(spark), scratch).count() == 0 and Q.keep(empty(spark), scratch).count() == 0
 
 
+def test_fences_of_counts_follow_their_share(spark, scratch):
+    """Repeated lines that many documents of a group have are normal there; the same number is rejected where hardly any has some."""
+    rnd = random.Random(3)
+    line = lambda: " ".join(words(rnd, 8, 10**6))
+    rows = []
+    for i in range(3000):
+        lines = [line() for _ in range(8)]
+        if i % 2 and i % 40 == 1 or i % 2 == 0 and i % 4 == 0:  # few of one source, half of the other
+            lines += [lines[0]]
+        rows.append((i, "\n".join(lines), "en", f"s{i % 2}", 0))
+    for k in (0, 1):
+        lines = [line() for _ in range(8)]
+        rows.append((9000 + k, "\n".join(lines + lines[:4]), "en", f"s{k}", 0))
+    df = frame(spark, rows)
+    m = df.select("doc_id", "lang", "source", Q.metrics(df.text).alias("m"))
+    cuts = {r.source: r for r in Q.cutoffs(Q.sketches(m, "lang", "source", "m")).collect()}
+    assert cuts["s0"].share_dup_lines > 5 * cuts["s1"].share_dup_lines > 0
+    got = {r.doc_id: r.kept for r in Q.score(df, scratch).collect()}
+    assert all(got[i] for i in range(3000)) and got[9000] and not got[9001]
+
+
+def test_rules_equal_sql(spark, scratch):
+    import duckdb
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    got = con.execute(Q.ORACLE)
+    assert compare.spark_rows(Q.score(docs, scratch)) == compare.rows([c[0] for c in got.description], got.fetchall())
+
+
 def test_bucket_keeps_six_bits(spark):
     got = [r[0] for r in spark.range(0, 5000).selectExpr(Q.bucket("id")).collect()]
     assert all(v == (x >> max(0, x.bit_length() - 6)) << max(0, x.bit_length() - 6) for x, v in enumerate(got))

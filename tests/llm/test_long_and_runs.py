@@ -168,3 +168,42 @@ def test_a_long_text_that_is_an_item(spark, scratch):
     docs, bench = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(5, text), (6, "w0 w7919")], "item_id long, text string")
     (row,) = decontaminate.contamination(docs, bench, scratch).collect()
     assert (row.n_words, row.n_hit, row.n_items, row.contaminated) == (40_000, 40_000, 2, True)
+
+
+def test_packing_follows_the_dot_product_rule():
+    """Against the rule in plain Python, in whole numbers times the number of shards."""
+    rng = np.random.default_rng(9)
+    items = np.stack([rng.integers(1, 900, 300), rng.integers(0, 200, 300), rng.integers(1, 4, 300)], axis=1)
+    total = [int(x) for x in items.sum(axis=0)]
+    share = [[int(v) / t for v, t in zip(x, total, strict=True)] for x in items]
+    left, want = [[1 / 6] * 3 for _ in range(6)], {}
+    for i in sorted(range(300), key=lambda i: (-max(share[i]), i)):
+        able = [k for k in range(6) if all(r >= v for r, v in zip(left[k], share[i], strict=True))]
+        if able:
+            k = max(able, key=lambda k: (round(sum(r * v for r, v in zip(left[k], share[i], strict=True)), 15), -k))
+        else:
+            k = max(range(6), key=lambda k: (min(r - v for r, v in zip(left[k], share[i], strict=True)), -k))
+        want[i] = k
+        left[k] = [r - v for r, v in zip(left[k], share[i], strict=True)]
+    assert sharding.pack(items, 6).tolist() == [want[i] for i in range(300)]
+
+
+def test_exchanges_even_the_loads_and_lose_no_unit():
+    rng = np.random.default_rng(11)
+    items = np.stack([rng.lognormal(6, 1, 900).astype(int) + 1, rng.lognormal(4, 1, 900).astype(int), rng.integers(1, 3, 900)], axis=1)
+    before = sharding.pack(items, 24)
+    after = sharding.even(items, before, 24)
+    spread = lambda at: np.ptp(np.array([items[at == k].sum(axis=0) for k in range(24)]), axis=0) / (items.sum(axis=0) / 24)
+    assert len(after) == 900 and set(after) == set(range(24)) and (spread(after) < 0.03).all()
+    assert np.array_equal(after, sharding.even(items, before, 24))
+    one = np.array([[5, 5, 1]])
+    assert sharding.even(one, sharding.pack(one, 24), 24).shape == (1,) and sharding.even(one[:0], sharding.pack(one[:0], 24), 24).shape == (0,)
+
+
+def test_sharding_is_even_in_bytes_tokens_and_rows(spark, scratch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = sharding.shard(docs, scratch).join(docs.select("doc_id", "text"), "doc_id").toPandas()
+    by = got.groupby("shard").agg(b=("size", "sum"), t=("tokens", "sum"), r=("size", "count"))
+    assert len(by) == 24 and ((by.max() - by.min()) / by.mean() < 0.03).all()
+    assert (got.groupby("text")["shard"].nunique() == 1).all()
+    assert all(sorted(x) == list(range(len(x))) for _, x in got.groupby("shard")["slot"])

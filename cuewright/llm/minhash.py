@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, components, small_side
+from .shared import Scratch, components, sifted, small_side
 from .textkit import NOT_SPACE, _table, blocks, distinct, each_batch, each_pair, grams, mix
 
 WORDS = 5
@@ -394,9 +394,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", te
 def deduplicate(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """The documents with one of each group, columns unchanged; of rows that repeat an id with one text, one."""
     found = scratch.save(near_duplicates(docs, scratch, id=id, text=text, percent=percent).select(F.col(id).alias("_id"), "kept"))
-    going = found.where("not kept").select("_id").distinct()
+    going = scratch.save(found.where("not kept").select("_id").distinct())
     held = docs.select(F.col(id).cast("long").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    rest = held.join(going, "_id", "left_anti")
+    # Ids grow with the documents, so they are joined in one way at every size; texts that stay are not shuffled for it.
+    may, rest = sifted(scratch, held, "_id", going)
+    rest = rest.unionByName(may.join(going.hint("merge"), "_id", "left_anti"))
     twice = scratch.save(found.where("kept and _id is not null").groupBy("_id").count().where("count > 1").select("_id"))
     if not twice.isEmpty():
         again = rest.join(twice, "_id", "left_semi").withColumn("_h", F.xxhash64(f"_row.{text}")).dropDuplicates(["_id", "_h"]).drop("_h")

@@ -94,6 +94,24 @@ def small_side(scratch: Scratch, saved: DataFrame) -> DataFrame:
     return F.broadcast(saved) if scratch.bytes(saved) <= SMALL_BYTES else saved
 
 
+#: A filter of ids has so many bits, at most 131,072 words of 64, whatever the number of ids: with more ids more rows pass for nothing, and none is lost.
+FILTER_BITS = 1 << 23
+
+
+def sifted(scratch: Scratch, rows: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key (long) may be among the ids, which have a column of that name, and those whose key is not.
+
+    Bits of the ids' hashes are broadcast, so rows with long texts that a join would not match are told where they
+    lie; only the first table need be shuffled to meet the ids, at any size.  A null key is never among the ids and may be in either.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("_place")
+    bit = "shiftleft(1L, cast(_place & 63 as int))"
+    words = scratch.save(ids.select(place).groupBy(F.expr("_place div 64").alias("_word")).agg(F.expr(f"bit_or({bit})").alias("_bits")))
+    told = rows.select("*", place).join(F.broadcast(words), F.expr("_place div 64 = _word"), "left")
+    may = F.coalesce(F.expr(f"_bits & {bit} <> 0"), F.lit(False))
+    return told.where(may).select(*rows.columns), told.where(~may).select(*rows.columns)
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of (a long, b long): one row (node, comp) for each node, comp the smallest node.
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .decontaminate import content
-from .shared import Scratch, small_side
+from .shared import Scratch, sifted, small_side
 from .textkit import NOT_SPACE, blocks, each_batch, each_pair, grams, release
 
 MIN_WORDS = 50
@@ -192,8 +192,9 @@ def repeats(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: str
     at = kept.repartitionByRange(*order).sortWithinPartitions(*order)
     chosen = scratch.save(at.mapInArrow(neighbours, "doc bigint, pos int").groupBy("doc").agg(F.collect_list("pos").alias("at")))
     scratch.drop(kept)
-    # Chosen suffixes and shared windows grow with the documents, so they are joined in one way at every size.
-    found = scratch.save(one.join(chosen.hint("merge"), "doc").select("doc", "t", "at").mapInArrow(windows, "window bigint, doc bigint, pos int, last int"))
+    # Chosen suffixes and shared windows grow with the documents, so they are joined in one way at every size; texts without any are not shuffled for it.
+    with_any, _ = sifted(scratch, one, "doc", chosen)
+    found = scratch.save(with_any.join(chosen.hint("merge"), "doc").select("doc", "t", "at").mapInArrow(windows, "window bigint, doc bigint, pos int, last int"))
     shared = scratch.save(found.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("other")).where("first <> other").select("window", "first"))
     met = found.join(shared.hint("merge"), "window").select("doc", F.col("pos").alias("s"), F.col("last").alias("t"), F.when(F.col("first") < F.col("doc"), F.col("first")).alias("first"))
     # Windows of one document in a row make one span.
@@ -248,6 +249,8 @@ def deduplicate(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text:
 
     found = scratch.save(spans_by_document(docs, scratch, id=id, text=text).where("size(removed) > 0").select(F.col(id).alias("_doc"), F.col("removed").alias("_removed")))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id).cast("long").alias("_doc"), F.col(text).alias("_t"))
+    # Only texts that may lose words meet the spans and Python.
+    held, rest = sifted(scratch, held, "_doc", found)
     held = held.join(small_side(scratch, found), "_doc", "left")
     held = held.withColumn("_new", without_spans(F.when(F.col("_removed").isNotNull(), F.col("_t")), F.col("_removed")))
     held = held.where("_removed is null or _new rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
@@ -260,7 +263,7 @@ def deduplicate(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text:
         elif c == length:
             old = F.when(changed, F.length("_new").cast(docs.schema[c].dataType)).otherwise(old)
         cols.append(old.alias(c))
-    return held.select(*cols)
+    return held.select(*cols).unionByName(rest.select("_row.*"))
 
 
 #: The spans of :func:`spans_by_document` in DuckDB SQL, from all windows, as text.

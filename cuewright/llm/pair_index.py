@@ -5,8 +5,8 @@ bytes are merged, its last symbol marked as a word's end.  The file is read on t
 the workers as bytes.
 
 The distinct words of a block that the task has not met lately are laid side by side as symbols.  An index maps each
-pair that can merge, by its rank, to all its positions.  The ranks present wait in a heap; the least is applied at all its positions,
-from left to right, and every merge adds the pairs it makes to their lists, whose old entries are told by
+pair that can merge, by its rank, to all its positions.  The ranks present wait in a heap; the least is applied at all its positions
+(of many by array operations, of few one after the other, from left to right), and every merge adds the pairs it makes to their lists, whose old entries are told by
 their symbols and passed over.  The loader verifies that a merge only uses symbols of lower ranks, so that no
 rank comes back once it is done, and the result is that of merging each word by itself.
 
@@ -45,6 +45,8 @@ KEPT_BYTES = 24 << 20
 #: Symbols are below 2**SHIFT; END parts words, DEAD is merged into the symbol on its left.
 SHIFT = 20
 END, DEAD = -1, -2
+#: A rank that has so many positions is applied at all of them by array operations.
+MANY = 128
 
 
 def byte_letters() -> list[str]:
@@ -129,48 +131,78 @@ class PairIndex:
         here, rank = here[order], rank[order]
         first = np.append(np.flatnonzero(np.diff(rank, prepend=-1)), len(rank)).tolist()
         self.places: dict[int, list[int]] = {int(rank[a]): here[a:b].tolist() for a, b in pairwise(first)}
-        self.sym = sym.tolist()
+        self.sym = sym
 
     def merge(self) -> None:
         """Apply the ranks present, the least first, until none is left."""
-        merges, rank_of, places, sym = self.vocabulary.merges, self.vocabulary.ranks.get, self.places, self.sym
-        after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
-        agenda = list(places)
-        heapify(agenda)
-        while agenda:
-            rank = heappop(agenda)
-            a, b, new = merges[rank]
+        merges, places = self.vocabulary.merges, self.places
+        self.after, self.before = np.arange(1, len(self.sym) + 1), np.arange(-1, len(self.sym) - 1)
+        self.agenda = list(places)
+        heapify(self.agenda)
+        while self.agenda:
+            rank = heappop(self.agenda)
             here = places.pop(rank)
-            here.sort()
-            high = new << SHIFT
-            for i in here:
-                if sym[i] != a:
+            (self.at_many if len(here) >= MANY else self.at_few)(here, *merges[rank])
+
+    def at_many(self, here: list[int], a: int, b: int, new: int) -> None:
+        """Merge a and b into new at all positions at once."""
+        sym, after, before = self.sym, self.after, self.before
+        i = np.sort(np.array(here))
+        i = i[np.diff(i, prepend=-1) > 0]
+        i = i[sym[i] == a]
+        j = after[i]
+        both = sym[j] == b
+        i, j = i[both], j[both]
+        if a == b and len(i):  # in a run of one symbol every other pair, from the left
+            at = np.arange(len(i))
+            begin = np.maximum.accumulate(np.where(np.append(True, i[1:] != j[:-1]), at, 0))
+            odd = (at - begin) % 2 == 1
+            i, j = i[~odd], j[~odd]
+        k = after[j]
+        sym[i], sym[j] = new, DEAD
+        after[i], before[k] = k, i
+        h = before[i]
+        # END beside the new symbol gives a negative number, which no pair has.
+        pair = np.concatenate([new << SHIFT | sym[k], sym[h] << SHIFT | new])
+        rank = self.vocabulary.pairs.get(pair)
+        some = np.flatnonzero((rank != NONE) & (pair >= 0))
+        order = some[np.argsort(rank[some], kind="stable")]
+        rank, at = rank[order], np.concatenate([i, h])[order].tolist()
+        cut = np.append(np.flatnonzero(np.diff(rank, prepend=-1)), len(rank))
+        for r, lo, hi in zip(rank[cut[:-1]].tolist(), cut.tolist(), cut[1:].tolist(), strict=False):
+            if r in self.places:
+                self.places[r] += at[lo:hi]
+            else:
+                self.places[r] = at[lo:hi]
+                heappush(self.agenda, r)
+
+    def at_few(self, here: list[int], a: int, b: int, new: int) -> None:
+        """The same, one position after the other."""
+        rank_of, places = self.vocabulary.ranks.get, self.places
+        sym, after, before = self.sym.data, self.after.data, self.before.data
+        here.sort()
+        high = new << SHIFT
+        for i in here:
+            if sym[i] != a:
+                continue
+            j = after[i]
+            if sym[j] != b:
+                continue
+            sym[i], sym[j] = new, DEAD
+            k, h = after[j], before[i]
+            after[i], before[k] = k, i
+            for at, r in ((i, rank_of(high | sym[k])), (h, rank_of(sym[h] << SHIFT | new))):
+                if r is None:
                     continue
-                j = after[i]
-                if sym[j] != b:
-                    continue
-                sym[i], sym[j] = new, DEAD
-                k, h = after[j], before[i]
-                after[i], before[k] = k, i
-                # END beside the new symbol gives a negative number, which no pair has.
-                r = rank_of(high | sym[k])
-                if r is not None:
-                    if r in places:
-                        places[r].append(i)
-                    else:
-                        places[r] = [i]
-                        heappush(agenda, r)
-                r = rank_of(sym[h] << SHIFT | new)
-                if r is not None:
-                    if r in places:
-                        places[r].append(h)
-                    else:
-                        places[r] = [h]
-                        heappush(agenda, r)
+                if r in places:
+                    places[r].append(at)
+                else:
+                    places[r] = [at]
+                    heappush(self.agenda, r)
 
     def codes(self) -> list[tuple[int, ...]]:
         """The symbols of each word."""
-        sym = np.array(self.sym, dtype=np.int64)
+        sym = self.sym
         ends = np.flatnonzero(sym == END)
         kept = sym >= 0
         at = np.cumsum(kept)[ends].tolist()

@@ -56,6 +56,31 @@ def test_index_equals_merging_word_by_word(vocabulary):
     assert index.codes() == [one_word(vocabulary, w) for w in words]
 
 
+@pytest.mark.parametrize("many", [1, 3, 10**9])
+def test_many_positions_at_once_equal_one_by_one(vocabulary, monkeypatch, many):
+    monkeypatch.setattr(P, "MANY", many)
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice(["a", "aa", "aaa", "o", "oo", "lol", "!", "!!!", "th", "e", "in", "é", "漢"]) for _ in range(rnd.randrange(1, 14))) for _ in range(500)]
+    words = list(dict.fromkeys([*words, *("a" * n for n in range(1, 40)), *("!" * n for n in range(1, 40)), "hahahahaha", "banana"]))
+    index = P.PairIndex(vocabulary, words)
+    index.merge()
+    assert not index.places
+    assert index.codes() == [one_word(vocabulary, w) for w in words]
+    none = P.PairIndex(vocabulary, [])
+    none.merge()
+    assert none.codes() == []
+
+
+def test_most_positions_are_merged_in_bulk(vocabulary, monkeypatch):
+    rnd = random.Random(8)
+    index = P.PairIndex(vocabulary, ["".join(rnd.choice(["th", "e", "in", "er", "an", "ou", "s", "t"]) for _ in range(4)) + str(k) for k in range(20_000)])
+    one_by_one, few = [], P.PairIndex.at_few
+    monkeypatch.setattr(P.PairIndex, "at_few", lambda self, here, *rest: (one_by_one.append(len(here)), few(self, here, *rest)))
+    index.merge()
+    merged = int((index.sym == P.DEAD).sum())
+    assert sum(one_by_one) < merged / 3
+
+
 def test_every_character_as_the_library(vocabulary, library):
     chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
     texts = ["".join(f"{c}a{c}{c}1" for c in chars[k : k + 2000]) for k in range(0, len(chars), 2000)]
